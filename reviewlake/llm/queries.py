@@ -2,25 +2,42 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import mixing, sharding
-from reviewlake.llm._shared import read_table
+from reviewlake.llm import decontaminate, mixing, quality, sharding, token_orc
+from reviewlake.llm._shared import read_table, shared_folder
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(read_table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents")).drop("host", "text_hash")
+
+
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_folder(spark)}/tables/tokens-{uuid.uuid4().hex}"
+    token_orc.write_tokens(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_orc.summary(token_orc.read_tokens(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op4_shard_placement)}
+    return {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_shard_placement, op5_quality_rules, op6_token_orc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.oracle(), "op4_shard_placement": sharding.oracle()}
+    return {"op1_mix_sources": mixing.oracle(), "op3_decontaminate": decontaminate.oracle(), "op4_shard_placement": sharding.oracle()}

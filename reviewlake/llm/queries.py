@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import decontaminate, mixing, quality, sharding, token_orc
+from reviewlake.llm import decontaminate, html_extract, mixing, quality, sharding, token_orc, toxicity
 from reviewlake.llm._shared import read_table, shared_folder
 
 
@@ -15,6 +15,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("text_hash")
 
@@ -35,8 +39,13 @@ def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_orc.summary(token_orc.read_tokens(spark, path))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op3_decontaminate, op4_shard_placement, op5_quality_rules, op6_token_orc)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_decontaminate, op4_shard_placement, op5_quality_rules, op6_token_orc, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

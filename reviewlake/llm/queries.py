@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import decontaminate, html_extract, mixing, quality, sharding, token_orc, toxicity
+from reviewlake.llm import decontaminate, html_extract, mixing, ngram_join, quality, sharding, token_orc, toxicity
 from reviewlake.llm._shared import read_table, shared_folder
 
 
@@ -44,8 +44,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(read_table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_decontaminate, op4_shard_placement, op5_quality_rules, op6_token_orc, op7_toxicity)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_decontaminate, op4_shard_placement, op5_quality_rules, op6_token_orc, op7_toxicity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.llm import decontaminate, html_extract, mixing, ngram_join, quality, sharding, suffix_dedup, token_orc, toxicity
+from reviewlake.llm import decontaminate, html_extract, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_orc, toxicity
 from reviewlake.llm._shared import read_table, shared_folder
 
 
@@ -48,12 +48,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(read_table(spark, sf_dir, "documents"), size=3, percent=90)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_decontaminate, op4_shard_placement, op5_quality_rules, op6_token_orc, op7_toxicity, op8_suffix_dedup, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_extract_html, op3_decontaminate, op4_shard_placement, op5_quality_rules, op6_token_orc, op7_toxicity, op8_suffix_dedup, op9_line_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:

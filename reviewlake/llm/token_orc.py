@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Pieces remembered by a Python worker; beyond that it starts anew.
-REMEMBER = 600_000
+from reviewlake.llm._shared import stored
+
+#: Pieces remembered by a Python worker; beyond that the rarest go.
+REMEMBER = 700_000
 END = 2
 CHUNK_BYTES = 1 << 20
 SCHEMA = "part int, row long, doc_id long, ids array<int>"
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "compression": "zstd"}
 _BREAK = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?:\s|$)")
+_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
 
 
 class Encoder:
@@ -51,53 +53,83 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}  # a piece after its space; "\0" leads those that begin a text
-        self.starts, self.lengths, self.flat, self.used = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32), 0
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces and remembers them."""
-        if len(self.known) + len(pieces) > REMEMBER:
-            self.forget()
-        for k in range(0, len(pieces), 4096):
-            part = pieces[k : k + 4096]
-            for piece, done in zip(part, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in part], add_special_tokens=False), strict=True):
-                self.remember(piece, done.ids)
+        self.known: dict[str, int] = {}  # a piece after its space; "\0" leads those that no space leads
+        self.starts, self.lengths, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
+        self.flat, self.used = np.zeros(1 << 14, np.int32), 0
 
     def remember(self, piece: str, ids: list[int]) -> None:
         at, end = len(self.known), self.used + len(ids)
         while end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         if at >= len(self.starts):
-            self.starts, self.lengths = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths))
+            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits))
         self.flat[self.used : end] = ids
-        self.starts[at], self.lengths[at], self.known[piece], self.used = self.used, len(ids), at, end
+        self.starts[at], self.lengths[at], self.hits[at], self.known[piece], self.used = self.used, len(ids), 0, at, end
+
+    def trim(self) -> None:
+        """Keeps the pieces that were met most, half as many as may be remembered at most."""
+        n, least = len(self.known), 2
+        while np.count_nonzero(self.hits[:n] >= least) > REMEMBER // 2:
+            least *= 2
+        old, starts, lengths, hits, flat = self.known, self.starts, self.lengths, self.hits, self.flat
+        self.forget()
+        for piece, at in old.items():
+            if hits[at] >= least:
+                self.remember(piece, flat[starts[at] : starts[at] + lengths[at]])
+
+    def ids_of(self, piece: str) -> np.ndarray:
+        at = self.known[piece]
+        return self.flat[self.starts[at] : self.starts[at] + self.lengths[at]]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Encodes pieces and remembers them. A word and the marks behind it are separate for the pre-tokeniser too."""
+        cut = {}
+        for piece in pieces:
+            word = piece.rstrip(".,;:!?")
+            if len(word) < len(piece) and word and word[-1].isalnum():
+                cut[piece] = word, "\0" + piece[len(word) :]
+        new = [p for p in dict.fromkeys(chain((p for p in pieces if p not in cut), chain.from_iterable(cut.values()))) if p not in self.known]
+        for k in range(0, len(new), 4096):
+            part = new[k : k + 4096]
+            for piece, done in zip(part, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in part], add_special_tokens=False), strict=True):
+                self.remember(piece, done.ids)
+        for piece, (word, marks) in cut.items():
+            if piece not in self.known:
+                self.remember(piece, np.concatenate([self.ids_of(word), self.ids_of(marks)]))
+
+    @staticmethod
+    def split(text: str) -> list[str]:
+        """Pieces that the pre-tokeniser keeps apart, and the end. A single newline between non-spaces is one."""
+        pieces: list[str] = []
+        if _ODD.search(text):
+            pieces = _BREAK.split(text)
+            pieces[0] = "\0" + pieces[0]
+        else:
+            for line in text.split("\n"):
+                if pieces:
+                    pieces.append("\0\n")
+                words = line.split(" ")
+                words[0] = "\0" + words[0]
+                pieces += words
+        pieces.append("\0\0end")
+        return pieces
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; the end id is with them."""
         if not self.pieces:
             rows = [e.ids + [END] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(rows), np.int32), np.array([len(r) for r in rows], np.int64)
-        split = []
-        for text in texts:
-            pieces = _BREAK.split(text) if _ODD.search(text) else text.split(" ")
-            pieces[0] = "\0" + pieces[0]
-            pieces.append("\0\0end")
-            split.append(pieces)
+        split = [self.split(text) for text in texts]
         flat = list(chain.from_iterable(split))
+        if len(self.known) > REMEMBER:
+            self.trim()
         if "\0\0end" not in self.known:
             self.remember("\0\0end", [END])
         at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         if (missing := np.flatnonzero(at < 0)).size:
-            before = len(self.known)
             self.learn(list(dict.fromkeys(flat[k] for k in missing)))
-            if len(self.known) < before:  # it forgot
-                self.remember("\0\0end", [END])
-                if wanted := [p for p in dict.fromkeys(flat) if p not in self.known]:
-                    for k, done in zip(wanted, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in wanted], add_special_tokens=False), strict=True):
-                        self.remember(k, done.ids)
-                at = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-            else:
-                at[missing] = [self.known[flat[k]] for k in missing]
+            at[missing] = [self.known[flat[k]] for k in missing]
+        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
         lengths = self.lengths[at]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
@@ -158,7 +190,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def summary(tokens: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the files. Parts are summed first, so no task sees all rows."""
-    rows = tokens.mapInArrow(_sum, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
+    rows = stored(tokens.mapInArrow(_sum, "part int, row long, doc_id long, n_tokens long, ids_crc32 long"), "token-sums")
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("_all"))
     before = parts.withColumn("_before", F.coalesce(F.sum("_all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "_before")
     within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -125,8 +125,8 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = judge(docs, items).filter("contaminated").select(F.col("text_hash").alias("_h")).distinct()
-    return docs.withColumn("_h", F.xxhash64("text")).join(bad, "_h", "left_anti").select(*docs.columns)
+    bad = judge(docs, items).filter("contaminated").select(F.col("text_hash").alias("__hash")).distinct()
+    return docs.withColumn("__hash", F.xxhash64("text")).join(bad, "__hash", "left_anti").select(*docs.columns)
 
 
 def oracle(window: int = WINDOW, share: int = SHARE) -> str:

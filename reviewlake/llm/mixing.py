@@ -42,7 +42,7 @@ def word_count(text: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    return docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_key"))
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -94,7 +94,7 @@ def apportion(parties: DataFrame, group: list[str], party: list[str], votes: str
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of docs (doc_id, source, text)."""
+    """doc_id, source, size, source_size, target, taken, text_key for each row of docs (doc_id, source, text)."""
     sizes = stored(measured(docs), "mix-sizes")
     sources = stored(targets(sizes, weights, cap), "mix-sources")
     blocks = (
@@ -128,10 +128,22 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = CAP, block
     taken = F.col("turns") * F.col("size") + overlap(F.col("first")) + overlap(F.col("first") - F.col("shard_size"))
     return (
         laid.join(plan, (F.col("rank") == F.col("_rank")) & (F.col("shard") == F.col("_shard")))
-        .select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "text_key")
     )
 
 
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """docs as the mix takes them: each row as often as its share of taken words, rounded, with all its columns.
+
+    Rows that share id, source and text are drawn together, as copies of one of them.
+    """
+    plan = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "text_key").agg(F.round(F.sum(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    plan = plan.filter("__times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), "__times")
+    own = docs.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__text"])
+    both = own.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__key")))
+    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+
+
 def oracle(weights: Sequence[int] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> str:
     """DuckDB SQL for op1 that raises the level step by step and ranks every quotient."""
     steps = 40

@@ -116,12 +116,16 @@ def judge(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, lin
 
 def keep(docs: DataFrame, host: str = "source") -> DataFrame:
     """The rows of docs that the rules keep, with all their columns. A verdict depends on host and text only."""
-    rejected = judge(docs, host).filter(~F.col("kept")).select("host", "text_hash").distinct()
-    return keyed(docs, host).join(rejected, ["host", "text_hash"], "left_anti").select(*docs.columns)
+    rejected = judge(docs, host).filter(~F.col("kept")).select(F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
+    own = docs.withColumn("__host", host_of(F.col(host).cast("string"))).withColumn("__hash", F.xxhash64("text"))
+    return own.join(rejected, ["__host", "__hash"], "left_anti").select(*docs.columns)
 
 
 def clean_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
     """docs with text without its boilerplate lines, by the same counts; Python only where a text has some."""
+    own = [c for c in docs.columns if c not in ("host", "text_hash", "_drop")]
+    if len(own) < len(docs.columns):
+        raise ValueError("docs has a column named host, text_hash or _drop")
     base = keyed(docs, host)
     line = F.explode(F.array_distinct(F.split("text", "\n")))
     norm = F.lower(F.btrim(F.regexp_replace("l", r"[\x20\x09-\x0D]+", " "), F.lit(" ")))

@@ -79,9 +79,8 @@ def docker_root(lines: DataFrame) -> DataFrame:
 def normalized(line: Column) -> Column:
     """A line for duplicate detection: '' for blank, comment and bracket lines; comments off, strings and numbers by name."""
     t = F.btrim(line, F.lit(" \t\r\f"))
-    strings = r"""("(?:[^"\\]|\\.)*(?:"|$)|'(?:[^'\\]|\\.)*(?:'|$))"""
-    bare = F.regexp_replace(t, rf"""^((?:[^"'/]|/(?!/)|{strings})*?)\s*//.*$""", "$1")
-    named = F.regexp_replace(F.regexp_replace(bare, strings, "__STR__"), r"(?<![A-Za-z0-9_À-￿])\d[\d.]*", "__NUM__")
+    strings = r"""\"[^\"\\]*+(?:\\.[^\"\\]*+)*+(?:\"|$)|'[^'\\]*+(?:\\.[^'\\]*+)*+(?:'|$)"""
+    named = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, strings, "__STR__"), r"\s*//.*$", ""), r"(?<![A-Za-z0-9_À-￿])\d[\d.]*", "__NUM__")
     return F.when(t.startswith("//") | t.startswith("#") | t.isin("", "{", "}", "(", ")", "{}", "[]", ",", ";"), "").otherwise(F.btrim(F.regexp_replace(named, r"\s+", " ")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -133,8 +134,6 @@ def apply_fixes(lines: DataFrame, findings: DataFrame) -> DataFrame:
     comment_out turns a line to two, a note and the line as a comment; replace_pattern replaces the first match, with
     $1 for groups; suggestions change nothing. Only lines with fixes reach Python, whose patterns come from data.
     """
-    import pandas as pd
-
     order = "id" if "id" in findings.columns else "message"
     wanted = findings.filter(F.col("fix").isNotNull() & (F.col("fix.kind") != "suggestion") & (F.col("line") > 0))
     per_line = wanted.groupBy(F.col("file").alias("path"), F.col("line").alias("line_no")).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("fix.kind").alias("kind"), F.col("fix.find").alias("find"), F.col("fix.replace").alias("replace"), F.col("message").alias("message")))).alias("fixes"))

@@ -84,18 +84,28 @@ def scanned(catalogue: C.Catalogue) -> Column:
     return keep
 
 
-def rule_frame(lines: DataFrame, catalogue: C.Catalogue) -> DataFrame:
-    """The catalogue as rows (rule, severity, message, suggestion, fix); a fixed number of rows."""
-    rows = [(k, r.severity, catalogue.message + r.name, r.suggestion, ("replace_pattern", *r.fix) if r.fix else ("suggestion", None, None)) for k, r in enumerate(catalogue.rules)]
-    return lines.sparkSession.createDataFrame(rows, f"rule int, severity string, message string, suggestion string, fix {FIX}")
+def rule_frame(lines: DataFrame, catalogues: Iterable[C.Catalogue]) -> DataFrame:
+    """The catalogues as rows (prefix, rule, severity, message, suggestion, fix); a fixed number of rows."""
+    rows = [
+        (c.prefix, k, r.severity, c.message + r.name, r.suggestion, ("replace_pattern", *r.fix) if r.fix else ("suggestion", None, None))
+        for c in catalogues for k, r in enumerate(c.rules)
+    ]
+    return lines.sparkSession.createDataFrame(rows, f"prefix string, rule int, severity string, message string, suggestion string, fix {FIX}")
 
 
-def run_catalogue(lines: DataFrame, catalogue: C.Catalogue) -> DataFrame:
-    if any(r.product_only for r in catalogue.rules) and "in_test_scope" not in lines.columns:
+def run_catalogues(lines: DataFrame, catalogues: Iterable[C.Catalogue]) -> DataFrame:
+    """Findings of catalogues in one scan: each line's first match by catalogue, exploded where there is any."""
+    catalogues = list(catalogues)
+    if any(r.product_only for c in catalogues for r in c.rules) and "in_test_scope" not in lines.columns:
         lines = with_test_scope(lines)
-    hits = lines.filter(scanned(catalogue)).select("path", "line_no", first_match(catalogue.rules).alias("rule")).filter("rule >= 0")
-    found = hits.join(F.broadcast(rule_frame(lines, catalogue)), "rule")
-    return found.select(*finding(catalogue.prefix, F.col("severity"), F.col("message"), F.col("path"), F.col("line_no"), F.col("suggestion"), F.col("fix")))
+    each = [F.when(scanned(c), F.struct(F.lit(c.prefix).alias("prefix"), first_match(c.rules).alias("rule"))) for c in catalogues]
+    hits = lines.select("path", "line_no", F.explode(F.filter(F.array(*each), lambda x: x["rule"] >= 0)).alias("x")).select("path", "line_no", "x.prefix", "x.rule")
+    found = hits.join(F.broadcast(rule_frame(lines, catalogues)), ["prefix", "rule"])
+    return found.select(*finding(F.col("prefix"), F.col("severity"), F.col("message"), F.col("path"), F.col("line_no"), F.col("suggestion"), F.col("fix")))
+
+
+def run_catalogue(lines: DataFrame, catalogue: C.Catalogue) -> DataFrame:
+    return run_catalogues(lines, [catalogue])
 
 
 def magic_numbers(lines: DataFrame) -> DataFrame:
@@ -183,12 +193,13 @@ def with_test_scope(lines: DataFrame) -> DataFrame:
 def run_all(lines: DataFrame, modules: Iterable[str] | None = None, custom: Iterable[CustomRule] = ()) -> DataFrame:
     """Findings of all enabled catalogues, as one union over shared lines. modules: names; None for all."""
     wanted = None if modules is None else set(modules)
-    parts = [run_catalogue(lines, c) for c in C.CATALOGUES if wanted is None or c.module in wanted]
+    chosen = [c for c in C.CATALOGUES if wanted is None or c.module in wanted]
+    parts = [run_catalogues(lines, chosen)] if chosen else []
     if wanted is None or "magic_numbers" in wanted:
         parts.append(magic_numbers(lines))
     if custom := list(custom):
         parts.append(custom_rules(lines, custom))
-    out = parts[0]
+    out = parts[0] if parts else magic_numbers(lines).limit(0)
     for part in parts[1:]:
         out = out.unionByName(part)
     return out

@@ -1,0 +1,432 @@
+"""Queries of the engine's own operators over the driver's tables, each with DuckDB SQL where SQL can say it.
+
+The tables hold no source code, so operators run on projections of them: documents are files, parts and their
+derived calls are a graph with two snapshots, events are the history of runs.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlake.functions.schemas import DATA
+from reviewlake.operators import context, findings, graph, history, impact, resolve, rule_catalog, rules, sinks, store
+from reviewlake.operators.tables import shared_folder, written
+from reviewlake.plans import review
+from reviewlake.sources import corpus
+from reviewlake.streaming import watch
+
+EXTS = ("py", "js", "tf", "yaml", "rs", "java")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
+
+
+def doc_path() -> Column:
+    ext = F.element_at(F.array(*map(F.lit, EXTS)), (F.col("doc_id") % len(EXTS) + 1).cast("int"))
+    return F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/d"), F.col("doc_id").cast("string"), F.lit("."), ext)
+
+
+def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(doc_path().alias("path"), F.col("text").alias("content"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.lines_of(files_of(spark, sf_dir))
+
+
+def marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of which every fifth has a suppressing comment."""
+    own = lines(spark, sf_dir)
+    return own.withColumn("line", F.when(F.col("line_no") % 5 == 0, F.concat("line", F.lit(f" # {findings.MARKER} CUSTOM SEC"))).otherwise(F.col("line")))
+
+
+CUSTOM = (
+    rules.CustomRule(pattern=r"[Tt]oken", message="token", severity="error", reject_if_contains="the", suggestion="say so"),
+    rules.CustomRule(pattern=r"^[A-Z][a-z]+ [a-z]+ [a-z]+\.", message="short sentence", paths=("*.py", "*.js")),
+    rules.CustomRule(pattern=r"[0-9]{3}", message="number", severity="info", fix_find=r"([0-9])([0-9])", fix_replace="$2$1"),
+    rules.CustomRule(pattern=r"(", message="does not compile"),
+)
+
+
+def custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.custom_rules(lines(spark, sf_dir), CUSTOM)
+
+
+def brief(found: DataFrame, *more: str) -> DataFrame:
+    return found.select("prefix", "severity", "message", "file", "line", *more)
+
+
+# --- corpus, rules and context ---
+
+
+def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).select("path", F.col("line_no").cast("long").alias("line_no"), F.length("line").cast("long").alias("n_chars"))
+
+
+def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines(spark, sf_dir).groupBy("ext").agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(F.col("line") != "").alias("n_filled"), F.countDistinct("path").alias("n_files"))
+
+
+def discovered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.discover(corpus.named(files_of(spark, sf_dir)), exts=[".py", ".rs"], ignore=["src1/", "**/d1*.rs"]).select("path", "file_name", "ext")
+
+
+def changed_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    old = docs.filter("doc_id % 7 <> 0").select(doc_path().alias("path"), F.sha2(F.when(F.col("doc_id") % 5 == 0, "old").otherwise(F.col("text")).cast("binary"), 256).alias("content_hash"))
+    new = docs.filter("doc_id % 11 <> 0").select(doc_path().alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
+    return corpus.changed_contents(old, new)
+
+
+def rules_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line catalogues at once, first match by line and prefix."""
+    return brief(rules.run_catalogues(lines(spark, sf_dir), rule_catalog.CATALOGUES))
+
+
+def magic_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(rules.magic_numbers(lines(spark, sf_dir)))
+
+
+def custom_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(custom(spark, sf_dir), "suggestion")
+
+
+def finding_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.number(custom(spark, sf_dir), ignore=["CUSTOM-002"]).select("id", "file", "line", "message")
+
+
+def severity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.gate(findings.summary(custom(spark, sf_dir)), "warning", {"info": 3})
+
+
+def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    total = findings.summary(custom(spark, sf_dir).limit(0), corpus.named(files_of(spark, sf_dir)))
+    return total.select(F.explode("files_by_language").alias("language", "files"))
+
+
+def suppress_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, gone = findings.suppress_inline(custom(spark, sf_dir), marked_lines(spark, sf_dir))
+    return brief(kept.withColumn("suppression_reason", F.lit("")).unionByName(gone), "suppression_reason")
+
+
+def suppress_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, gone = findings.suppress_paths(custom(spark, sf_dir), {"**/src1*/**": ["CUSTOM"], "src/src0/*": ["SEC", "*"], "src/**": ["SEC"]})
+    return brief(kept.withColumn("suppression_reason", F.lit("")).unionByName(gone), "suppression_reason")
+
+
+def suppress_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = custom(spark, sf_dir)
+    kept, gone = findings.suppress_baseline(found, findings.baseline_of(found.filter("line = 1"), "src"), "src")
+    return brief(kept.withColumn("suppression_reason", F.lit("")).unionByName(gone), "suppression_reason")
+
+
+def suppression_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.breakdown(suppress_path(spark, sf_dir).filter("suppression_reason <> ''").unionByName(suppress_inline(spark, sf_dir).filter("suppression_reason <> ''")))
+
+
+def diff_line_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    changed = lines(spark, sf_dir).select("path", (F.col("ext") == "py").alias("all_new"), F.col("line_no").alias("line")).filter("all_new OR line <= 2")
+    changed = changed.withColumn("line", F.when(~F.col("all_new"), F.col("line"))).filter("path NOT LIKE '%d1%'").distinct()
+    return brief(findings.keep_changed(custom(spark, sf_dir), changed))
+
+
+def lookahead_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.lookahead(lines(spark, sf_dir), F.col("line").contains("the"), F.col("line").rlike("[0-9]")).withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def file_level_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context.present_without(lines(spark, sf_dir), "[0-9]{2}", "token").withColumn("line_no", F.col("line_no").cast("long"))
+
+
+def cyclomatic_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("ext") == "py", "python").when(F.col("ext") == "rs", "rust").otherwise("generic")
+    return lines(spark, sf_dir).withColumn("line", F.replace("line", F.lit(" for "), F.lit(" for ( && "))).groupBy("path").agg((F.sum(context.branches(F.col("line"), kind)) + 1).alias("cyclomatic"))
+
+
+def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(context.duplicates(lines(spark, sf_dir), 3), "affected_dependents")
+
+
+def test_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = lines(spark, sf_dir).withColumn("line", F.when(F.col("line_no") % 4 == 1, "#[test]").when(F.col("line_no") % 4 == 2, "fn t() {").when(F.col("line_no") % 4 == 3, F.col("line")).otherwise(F.lit("}")))
+    return rules.with_test_scope(own).filter("in_test_scope").select("path", F.col("line_no").cast("long").alias("line_no"))
+
+
+def nesting_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines(spark, sf_dir).withColumn("line", F.translate("line", "aeiou", "{}{}{"))
+    ordered = rows.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]).alias("r"))
+    return ordered.select("path", context.brace_depth(F.col("r")).alias("depth"))
+
+
+def apply_fixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.apply_fixes(lines(spark, sf_dir), custom(spark, sf_dir))
+
+
+def toolchain_undeclared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = (("the-tool", ("the ",), ("nowhere-declared",), "a"), ("number-tool", (" 1", " 2"), (".",), "b"))
+    return brief(context.toolchain(lines(spark, sf_dir), files_of(spark, sf_dir), tools))
+
+
+def ai_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(findings.ai_candidates(custom(spark, sf_dir)))
+
+
+# --- graph ---
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes of the new snapshot."""
+    kind = F.element_at(F.array(*map(F.lit, ("Function", "Class", "Variable", "Type", "File"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    parameter = F.struct(F.lit("a").alias("name"), F.col("p_type").alias("param_type"), F.when(F.col("p_size") % 2 == 0, "0").otherwise(none).alias("default_value"))
+    fields = {"language": F.lit("py"), "parameters": F.when(kind == "Function", F.array(parameter)), "return_type": F.when(kind == "Function", F.lit("int")), "base_classes": F.when(kind == "Class", F.array(F.col("p_brand"))), "methods": F.when(kind == "Class", F.array(F.lit("m"), F.col("p_type"))), "fields": F.when(kind == "Class", F.array().cast("array<string>")), "is_constant": F.when(kind == "Variable", F.col("p_size") > 25)}
+    names = [n.split(":")[0] for n in ("language", "exports", "parameters", "return_type", "base_classes", "methods", "fields", "definition", "var_type", "is_constant", "module", "imported_names", "resolved_path", "http_method", "path", "handler", "table_name", "model_fields", "key", "default_value")]
+    data = F.struct(*(fields.get(n, F.lit(None)).alias(n) for n in names)).cast(DATA)
+    path = F.concat(F.lit("mod"), (F.col("p_partkey") % 7).cast("string"), F.lit("/"), F.when(F.col("p_partkey") % 13 == 0, "test_").otherwise(""), F.translate("p_brand", "#", ""), F.lit(".py"))
+    return table(spark, sf_dir, "part").select(
+        F.lit("new").alias("snapshot"), F.col("p_partkey").alias("id"), kind.alias("kind"), F.concat(F.col("p_name"), F.lit("-"), F.col("p_partkey").cast("string")).alias("name"), path.alias("file_path"), F.col("p_size").cast("int").alias("line"),
+        (F.col("p_size") + F.col("p_partkey") % 120).cast("int").alias("end_line"), (F.col("p_partkey") % 3 > 0).alias("is_public"), data.alias("data"), F.array().cast("array<string>").alias("decorators"), F.when(F.col("p_partkey") % 17 == 0, F.array(F.lit("T"))).otherwise(F.array().cast("array<string>")).alias("type_parameters"),
+    )
+
+
+def old_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snapshot before: some nodes missing, moved, of other types, or deleted since."""
+    new = parts(spark, sf_dir)
+    key = F.col("id")
+    typed = F.transform(F.col("data.parameters"), lambda p: F.struct(p["name"].alias("name"), F.when(key % 14 == 0, "other").otherwise(p["param_type"]).alias("param_type"), F.when(key % 6 == 0, "1").otherwise(p["default_value"]).alias("default_value")))
+    old = new.filter("id % 19 <> 0").withColumn("line", F.when(key % 4 == 0, F.col("line") + 1).otherwise(F.col("line")).cast("int"))
+    old = old.withColumn("data", F.col("data").withField("parameters", typed).withField("methods", F.when(key % 21 == 1, F.concat("data.methods", F.array(F.lit("gone")))).otherwise(F.col("data.methods"))))
+    gone = new.filter("id % 10 = 0").withColumn("name", F.concat("name", F.lit("-old"))).withColumn("id", key + 10_000_000)
+    return old.unionByName(gone).withColumn("type_parameters", F.array().cast("array<string>")).withColumn("snapshot", F.lit("old"))
+
+
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two calls, a reference and a containment from each part; cyclic."""
+    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("from_id"), F.count(F.lit(1)).over(rules_window()).alias("n"))
+    n, k = F.col("n"), F.col("from_id")
+    to = F.array(
+        F.struct(F.lit(0).alias("edge_idx"), ((k * 17 + 3) % F.ceil(n / 2) * 2 + 1).alias("to_id"), F.lit("Calls").alias("kind")), F.struct(F.lit(1).alias("edge_idx"), ((k * 31 + 5) % F.ceil(n / 2) + 1).alias("to_id"), F.lit("Calls").alias("kind")),
+        F.struct(F.lit(2).alias("edge_idx"), ((k * 7 + 1) % F.ceil(n / 3) + 1).alias("to_id"), F.lit("References").alias("kind")), F.struct(F.lit(3).alias("edge_idx"), ((k * 3 + 2) % n + 1).alias("to_id"), F.lit("Contains").alias("kind")),
+    )
+    return own.select("from_id", F.explode(to).alias("e")).select(F.lit("new").alias("snapshot"), "from_id", F.col("e.to_id").cast("long").alias("to_id"), F.col("e.edge_idx").alias("edge_idx"), F.col("e.kind").alias("kind"), F.lit(None).cast("struct<call_line:int,is_direct:boolean,alias:string,is_wildcard:boolean,param_index:int>").alias("metadata"))
+
+
+def rules_window():
+    from pyspark.sql import Window
+
+    return Window.partitionBy()
+
+
+def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as a dense multigraph of suppliers and parts."""
+    kind = F.when(F.col("l_returnflag") == "A", "Calls").when(F.col("l_returnflag") == "N", "References").otherwise("Imports")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("from_id"), F.col("l_partkey").alias("to_id"), kind.alias("kind"))
+
+
+def sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small cyclic graph of part sizes, in groups of five that lead on to the next group."""
+    p = table(spark, sf_dir, "part")
+    inner = p.select(F.col("p_size").cast("long").alias("from_id"), (F.floor(F.col("p_size") / 5) * 5 + F.col("p_partkey") % 5).alias("to_id"))
+    return inner.unionByName(p.select(F.col("p_size").cast("long").alias("from_id"), (F.floor(F.col("p_size") / 5) * 5 + 7).alias("to_id"))).filter("from_id % 5 < 4").distinct()
+
+
+def direct_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.direct_dependents(trade(spark, sf_dir), 7)
+
+
+def dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dependencies(trade(spark, sf_dir), 3)
+
+
+def by_edge_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.by_edge_kind(trade(spark, sf_dir), 3, "Imports")
+
+
+def by_edge_kind_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.by_edge_kind_reverse(trade(spark, sf_dir), 7, "Calls")
+
+
+def transitive_dependents_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transitive_dependents(part_edges(spark, sf_dir), 5, 3)
+
+
+def transitive_dependents_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transitive_dependents(part_edges(spark, sf_dir), 5).select("id")
+
+
+def transitive_callers_d3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transitive_callers(part_edges(spark, sf_dir), 5, 3)
+
+
+def transitive_dependencies_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transitive_dependencies(part_edges(spark, sf_dir), 5).select("id")
+
+
+def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.simple_paths(sizes(spark, sf_dir), 1, 12, 7).select(F.array_join("path", ">").alias("path"))
+
+
+def import_cycles_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.mutual_reach(sizes(spark, sf_dir))
+
+
+def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.components(part_edges(spark, sf_dir).filter("kind = 'References'"))
+
+
+def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = sizes(spark, sf_dir).withColumn("kind", F.lit("Imports")).withColumn("edge_idx", F.col("to_id").cast("int"))
+    nodes = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct().withColumn("kind", F.lit("File"))
+    return graph.import_cycles(nodes, edges).select(F.array_join("cycle", ">").alias("cycle"))
+
+
+def unused_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brief(impact.unused_exports(parts(spark, sf_dir), part_edges(spark, sf_dir)))
+
+
+def changed_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.changed_nodes(old_parts(spark, sf_dir), parts(spark, sf_dir))
+
+
+def classify_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = old_parts(spark, sf_dir), parts(spark, sf_dir)
+    return impact.classify(impact.changed_nodes(old, new, True), old, new)
+
+
+def impact_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = impact.analyze(old_parts(spark, sf_dir), parts(spark, sf_dir), part_edges(spark, sf_dir))
+    return report.select("new_id", "classification", F.size("direct").cast("long").alias("n_direct"), F.size("transitive").cast("long").alias("n_transitive"))
+
+
+def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.summary(written(impact.analyze(old_parts(spark, sf_dir), parts(spark, sf_dir), part_edges(spark, sf_dir)), "report"))
+
+
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.blast_radius(written(impact.analyze(old_parts(spark, sf_dir), parts(spark, sf_dir), part_edges(spark, sf_dir)), "report"), parts(spark, sf_dir))
+
+
+def diff_dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.new_dead_code(old_parts(spark, sf_dir), parts(spark, sf_dir), part_edges(spark, sf_dir)).select("id", "name", "kind", "file_path")
+
+
+def deletion_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = part_edges(spark, sf_dir)
+    old_edges = edges.withColumn("from_id", F.when(F.col("from_id") % 10 == 0, F.col("from_id") + 10_000_000).otherwise(F.col("from_id")))
+    new_edges = edges.filter("from_id % 10 <> 0")
+    return impact.deletion_orphans(old_parts(spark, sf_dir), old_edges, parts(spark, sf_dir), new_edges).select("id", "name", "kind")
+
+
+def snapshot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = parts(spark, sf_dir).select("snapshot", "id").unionByName(old_parts(spark, sf_dir).select("snapshot", "id"))
+    return store.snapshot_counts(nodes, part_edges(spark, sf_dir))
+
+
+def snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = store.SnapshotStore(spark, f"{shared_folder(spark)}/tables/store-{uuid.uuid4().hex}")
+    own.flush(old_parts(spark, sf_dir), part_edges(spark, sf_dir), "v1")
+    own.flush(parts(spark, sf_dir), part_edges(spark, sf_dir), "v1")
+    return own.nodes("v1").select("id", "kind", "name", "file_path", "line", "is_public")
+
+
+def function_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and parameters of functions, with findings above their limits counted."""
+    found = context.complexity(parts(spark, sf_dir), lines(spark, sf_dir))
+    return found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+
+
+def resolve_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(doc_path().alias("path"))
+    state = docs.select(doc_path().alias("file_path"), F.col("doc_id").alias("import_id"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("./d"), (F.col("doc_id") + 20).cast("string"))).otherwise(F.concat(F.lit("../src1/d"), (F.col("doc_id") - F.col("doc_id") % 20 + 21).cast("string"), F.lit(".x"))).alias("module"))
+    return resolve.resolve_modules(state, files)
+
+
+def ordered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of several wanted file names that exists."""
+    docs = table(spark, sf_dir, "documents")
+    wanted = docs.select("doc_id", F.array(*(F.concat(F.lit("src/"), F.coalesce("source", F.lit("none")), F.lit("/d"), (F.col("doc_id") + 20).cast("string"), F.lit(f".{e}")) for e in ("rs", "py", "java", "js"))).alias("tries"))
+    return resolve.first_candidate(wanted, docs.select(doc_path().alias("path")), ["doc_id"])
+
+
+# --- history, sinks and streams ---
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of events as runs, their types as severities."""
+    e = table(spark, sf_dir, "events").withColumn("hour", F.floor(F.unix_timestamp("ts") / 3600))
+    found = F.struct(F.concat(F.upper(F.substring("event_type", 1, 3)), F.lit("-"), F.col("event_id").cast("string")).alias("id"), F.when(F.col("value") > 80, "error").when(F.col("value") > 40, "warning").otherwise("info").alias("severity"), F.col("event_type").alias("message"), F.concat(F.lit("f"), (F.col("user_id") % 50).cast("string")).alias("file"), F.lit(1).alias("line"), (F.col("event_id") % 9 == 0).alias("suppressed"), F.lit(None).cast("string").alias("suppression_reason"))
+    rows = e.select("hour", found.alias("f"))
+    kept = ~F.col("f.suppressed")
+    count = lambda s: F.count_if(kept & (F.col("f.severity") == s)).cast("int")
+    return rows.groupBy("hour").agg(F.struct(count("error").alias("errors"), count("warning").alias("warnings"), count("info").alias("info"), F.count_if(~kept).cast("int").alias("suppressed")).alias("summary"), F.collect_list("f").alias("findings")).select(
+        F.concat(F.lit("run-"), F.col("hour").cast("string")).alias("id"), (F.col("hour") * 3600).alias("timestamp"), "summary", "findings"
+    )
+
+
+def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.listing(runs(spark, sf_dir)).withColumn("kept", F.col("kept").cast("long"))
+
+
+def clean_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.clean_rate(runs(spark, sf_dir))
+
+
+def severity_avgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.averages(runs(spark, sf_dir))
+
+
+NOW = 1_704_672_000 + 5 * 86_400
+
+
+def week_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.week_trend(runs(spark, sf_dir), NOW)
+
+
+def noisiest_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.noisiest(history.findings_of(runs(spark, sf_dir)))
+
+
+def report_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.report_tables(runs(spark, sf_dir))["trend"]
+
+
+def sarif_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = history.findings_of(runs(spark, sf_dir)).select(F.substring_index("id", "-", 1).alias("prefix"))
+    return sinks.sarif_rules(found).withColumn("rule_index", F.col("rule_index").cast("long"))
+
+
+def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.annotations(findings.number(custom(spark, sf_dir)))
+
+
+def comment_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings.number(custom(spark, sf_dir))
+    return sinks.new_comments(found, found.filter("line = 1").select("id")).select("id", "file", "line")
+
+
+def watch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as a stream of file versions, reviewed by micro-batches to the end."""
+    base = f"{shared_folder(spark)}/tables/watch-{uuid.uuid4().hex}"
+    files_of(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(0))).select("ts", "path", "content").write.parquet(f"{base}/in")
+    config = review.Config(modules={"security"})
+    query = watch.watch(watch.changes(spark, f"{base}/in"), lambda df, k: df.withColumn("batch", F.lit(k)).write.mode("append").parquet(f"{base}/out"), config, f"{base}/state", once=True)
+    query.awaitTermination()
+    return spark.read.parquet(f"{base}/out").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+QUERIES = (
+    rules_first_match, scan_lines, line_stats, discovered_files, changed_contents, magic_numbers, custom_rules, finding_numbering, severity_summary, files_by_language, suppress_inline, suppress_path, suppress_baseline, suppression_breakdown, diff_line_filter,
+    lookahead_pairs, file_level_missing, cyclomatic_counts, duplicate_blocks, test_scope, nesting_depth, apply_fixes, toolchain_undeclared, ai_candidates, direct_dependents, dependencies, by_edge_kind, by_edge_kind_reverse, transitive_dependents_d3,
+    transitive_dependents_full, transitive_callers_d3, transitive_dependencies_full, simple_paths, import_cycles_scc, weak_components, import_cycles, unused_exports, changed_nodes, classify_changes, impact_report, impact_summary, blast_radius, diff_dead_code,
+    deletion_orphans, snapshot_counts, snapshot_roundtrip, function_metrics, resolve_imports, ordered_candidates, run_listing, clean_rate, severity_avgs, week_trend, noisiest_rules, report_trend, sarif_rules, annotations, comment_dedup, watch_batches,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}

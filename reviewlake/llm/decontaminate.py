@@ -36,6 +36,8 @@ SHINGLE = 5
 SHARE = 20
 #: The most benchmark shingles that are broadcast (8 bytes each); above it Spark plans the join by size.
 MOST_BROADCAST = 2_000_000
+#: Stands for a null doc_id in keys, which joins would drop.
+NO_ID = -(1 << 63)
 SEPARATORS = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 #: The same before lower-casing, when A-Z are letters.
 RAW_SEPARATORS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -67,11 +69,11 @@ def item_windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
 
 
 def find(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """Verified occurrences: doc_id, text_hash, start (word, from 0), length, win, once for each."""
+    """Verified occurrences: doc_id (NO_ID for null), text_hash, start (word, from 0), length, win, once for each."""
     windows = stored(item_windows(items, window, shingle).dropDuplicates(["win"]).drop("item"), "decon-windows")
     wanted = windows.select("size", F.explode("shingles").alias("sh")).distinct()
     per_size = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `shingle` rows
-    split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
+    split = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("w"))
     found = None
     for size, n in sorted(per_size.items()):
         every = split.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.posexplode(shingle_hashes(F.col("w"), size)).alias("pos", "sh"))
@@ -114,7 +116,7 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
     named = hits.select(*key, "win").distinct().join(item_windows(items, window).select("win", "item"), "win").groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
     both = covered.join(named, key).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_h"), "n_hit", "items")
     base = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("n_words"))
-    joined = base.join(both, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_h")), "left")
+    joined = base.join(both, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("_id")) & (F.col("text_hash") == F.col("_h")), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return joined.select(
         *key, "n_words", hit.alias("n_hit"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -125,8 +127,9 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = judge(docs, items).filter("contaminated").select(F.col("text_hash").alias("__hash")).distinct()
-    return docs.withColumn("__hash", F.xxhash64("text")).join(bad, "__hash", "left_anti").select(*docs.columns)
+    bad = judge(docs, items).filter("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    own = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__hash", F.xxhash64("text"))
+    return own.join(bad, ["__id", "__hash"], "left_anti").select(*docs.columns)
 
 
 def oracle(window: int = WINDOW, share: int = SHARE) -> str:

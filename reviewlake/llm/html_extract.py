@@ -6,8 +6,8 @@ characters over its tags; blocks in containers that never hold the article (menu
 page, sidebars, notices, adverts, forms, scripts, styles, reader comments) have ratio 0. The ratios are
 smoothed by a Gaussian over neighbouring blocks and split into two clusters by a threshold (means of the
 two sides). The high cluster marks the content: the article or main elements that hold any of it, whole; on a
-page without such elements, the stretch from the first to the last high block, without blocks that are
-mostly links.
+page without such elements, the stretch from the first to the last high block, and on at both ends as far as
+blocks are neither boilerplate nor mostly links (headings, short paragraphs), without blocks that are.
 
 Edge cases: null or empty html gives an empty text; broken or unclosed markup is read as far as the parser
 goes; text without any tag is one block; a page without text gives ''; pages may be of any length; repeated rows
@@ -199,7 +199,13 @@ def main_blocks(html: str | None) -> list[str]:
     if any(b.article for b in live):
         chosen = {blocks[k].article for k in high} - {0} or {b.article for b in live} - {0}
         return [b.text for b in live if b.article in chosen]
-    return [b.text for b in blocks[high[0] : high[-1] + 1] if not b.dropped and b.linked <= LINK_SHARE * len(b.text)]
+    good = [not b.dropped and b.linked <= LINK_SHARE * len(b.text) for b in blocks]
+    first, last = high[0], high[-1]
+    while first and good[first - 1]:
+        first -= 1
+    while last + 1 < len(blocks) and good[last + 1]:
+        last += 1
+    return [b.text for b, ok in zip(blocks[first : last + 1], good[first : last + 1], strict=True) if ok]
 
 
 def main_text(html: str | None) -> str:

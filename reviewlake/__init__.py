@@ -1 +1,3 @@
 """reviewlake: code-intelligence analytics expressed as Spark DataFrames."""
+
+__version__ = "0.1.0"

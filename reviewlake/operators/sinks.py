@@ -17,6 +17,19 @@ def json_lines(findings: DataFrame) -> DataFrame:
     return findings.select(F.to_json(F.struct(*findings.columns)).alias("value"))
 
 
+def write_json(findings: DataFrame, summary: DataFrame, path: str, blast_radius: DataFrame | None = None) -> None:
+    """One document with blast_radius (if given), findings and summary, streamed row by row."""
+    brief = findings.select(F.to_json(F.struct("id", "severity", "message", "file", "line")).alias("value"))
+    with open(path, "w", encoding="utf-8") as out:
+        out.write("{")
+        if blast_radius is not None:
+            out.write('"blast_radius":' + json.dumps(blast_radius.first().asDict()) + ",")
+        out.write('"findings":[')
+        for k, row in enumerate(brief.toLocalIterator()):
+            out.write("," * (k > 0) + row["value"])
+        out.write('],"summary":' + json.dumps(summary.select("errors", "warnings", "info").first().asDict()) + "}")
+
+
 def sarif_rules(findings: DataFrame) -> DataFrame:
     """prefix, rule_index from 0: the distinct prefixes in order."""
     return findings.select("prefix").distinct().withColumn("rule_index", F.row_number().over(Window.orderBy("prefix")) - 1)
@@ -26,7 +39,7 @@ def sarif_results(findings: DataFrame, root: str = "") -> DataFrame:
     """One JSON result a finding with a file; lines start at 1."""
     rules = F.broadcast(sarif_rules(findings))
     uri = T.relative(F.col("file"), root) if root else F.col("file")
-    place = F.struct(F.struct(F.struct(uri.alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
+    place = F.struct(F.struct(F.struct(uri.alias("uri"), F.lit("%SRCROOT%").alias("uriBaseId")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region")).alias("physicalLocation"))
     row = F.struct(F.col("prefix").alias("ruleId"), F.col("rule_index").alias("ruleIndex"), T.sarif_level(F.col("severity")).alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"))
     return findings.filter("file <> ''").join(rules, "prefix").select(F.to_json(row).alias("value"))
 

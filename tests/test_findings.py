@@ -6,7 +6,7 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import findings, history, sinks
+from reviewlake.operators import explain, findings, history, sinks
 from reviewlake.functions.schemas import RUN
 from reviewlake.plans import review
 from reviewlake.sources import config, corpus
@@ -66,6 +66,10 @@ def test_sinks(some, tmp_path):
     assert "::notice file=src/c.py,line=9,title=SQL-001::m4" in {r.value for r in sinks.annotations(some).collect()}
     assert "<td>a&lt;b</td>" in sinks.html_report({"t": some.limit(1).select(F.lit("a<b").alias("x"))})
     assert len(list(sinks.terminal(some))) == 4
+    sinks.write_json(some, findings.summary(some), str(tmp_path / "out.json"))
+    told = json.loads((tmp_path / "out.json").read_text())
+    assert told["summary"] == {"errors": 2, "warnings": 1, "info": 1} and len(told["findings"]) == 4
+    assert explain.explain("sql-004").startswith("SQL: ") and explain.explain("nothing") is None
 
 
 def test_history(spark, tmp_path):

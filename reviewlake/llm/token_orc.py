@@ -36,7 +36,8 @@ CHUNK_BYTES = 1 << 20
 SCHEMA = "part int, row long, doc_id long, ids array<int>"
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "compression": "zstd"}
 _BREAK = re.compile(r" (?=\S)")
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: White space that is no single space or newline between others.
+_ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
 
 
 class Encoder:
@@ -57,51 +58,61 @@ class Encoder:
         self.starts, self.lengths, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
         self.flat, self.used = np.zeros(1 << 14, np.int32), 0
 
-    def remember(self, piece: str, ids: list[int]) -> None:
-        at, end = len(self.known), self.used + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if at >= len(self.starts):
-            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.lengths, self.hits))
+    def extend(self, pieces: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
+        """Remembers pieces with their ids, which stand one after another."""
+        at, n, end = len(self.known), len(pieces), self.used + len(ids)
+        if end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.int32)])
+        if at + n > len(self.starts):
+            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros(max(len(x), at + n), np.int64)]) for x in (self.starts, self.lengths, self.hits))
         self.flat[self.used : end] = ids
-        self.starts[at], self.lengths[at], self.hits[at], self.known[piece], self.used = self.used, len(ids), 0, at, end
+        self.starts[at : at + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[at : at + n] = lengths
+        self.hits[at : at + n] = 0
+        self.known.update(zip(pieces, range(at, at + n), strict=True))
+        self.used = end
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of remembered pieces one after another, and their numbers."""
+        lengths = self.lengths[at]
+        ends = np.cumsum(lengths)
+        return self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
 
     def trim(self) -> None:
         """Keeps the pieces that were met most, half as many as may be remembered at most."""
         n, least = len(self.known), 2
         while np.count_nonzero(self.hits[:n] >= least) > REMEMBER // 2:
             least *= 2
-        old, starts, lengths, hits, flat = self.known, self.starts, self.lengths, self.hits, self.flat
+        keep = [(piece, at) for piece, at in self.known.items() if self.hits[at] >= least]
+        ids, lengths = self.gather(np.array([at for _, at in keep], np.int64))
         self.forget()
-        for piece, at in old.items():
-            if hits[at] >= least:
-                self.remember(piece, flat[starts[at] : starts[at] + lengths[at]])
-
-    def ids_of(self, piece: str) -> np.ndarray:
-        at = self.known[piece]
-        return self.flat[self.starts[at] : self.starts[at] + self.lengths[at]]
+        self.extend([piece for piece, _ in keep], lengths, ids)
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces and remembers them. A word and the marks behind it are separate for the pre-tokeniser too."""
-        cut = {}
+        whole, cut, known = [], [], self.known
         for piece in pieces:
             word = piece.rstrip(".,;:!?")
             if len(word) < len(piece) and word and word[-1].isalnum():
-                cut[piece] = word, "\0" + piece[len(word) :]
-        new = [p for p in dict.fromkeys(chain((p for p in pieces if p not in cut), chain.from_iterable(cut.values()))) if p not in self.known]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for piece, done in zip(part, self.tokenizer.encode_batch_fast([p[1:] if p[:1] == "\0" else " " + p for p in part], add_special_tokens=False), strict=True):
-                self.remember(piece, done.ids)
-        for piece, (word, marks) in cut.items():
-            if piece not in self.known:
-                self.remember(piece, np.concatenate([self.ids_of(word), self.ids_of(marks)]))
+                cut.append((piece, word, "\0" + piece[len(word) :]))
+            else:
+                whole.append(piece)
+        new = [p for p in dict.fromkeys([*whole, *(x for _, *both in cut for x in both)]) if p not in known]
+        for k in range(0, len(new), 8192):
+            part = new[k : k + 8192]
+            done = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[0] == "\0" else " " + p for p in [x or "\0 " for x in part]], add_special_tokens=False)]
+            lengths = np.fromiter(map(len, done), np.int64, len(done))
+            self.extend(part, lengths, np.fromiter(chain.from_iterable(done), np.int32, int(lengths.sum())))
+        cut = [c for c in cut if c[0] not in known]
+        if cut:
+            ids, lengths = self.gather(np.array([known[x] for _, word, marks in cut for x in (word, marks)], np.int64))
+            self.extend([piece for piece, _, _ in cut], lengths.reshape(-1, 2).sum(axis=1), ids)
 
     @staticmethod
     def split(text: str) -> list[str]:
         """Pieces that the pre-tokeniser keeps apart, and the end. A single newline between non-spaces is one."""
         pieces: list[str] = []
-        if _ODD.search(text):
+        if any(odd in text for odd in _ODD) or text[:1].isspace() or text[-1:].isspace():
             pieces = _BREAK.split(text)
             pieces[0] = "\0" + pieces[0]
         else:
@@ -124,17 +135,15 @@ class Encoder:
         if len(self.known) > REMEMBER:
             self.trim()
         if "\0\0end" not in self.known:
-            self.remember("\0\0end", [END])
+            self.extend(["\0\0end"], np.array([1]), np.array([END]))
         at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
         if (missing := np.flatnonzero(at < 0)).size:
             self.learn(list(dict.fromkeys(flat[k] for k in missing)))
             at[missing] = [self.known[flat[k]] for k in missing]
         self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
-        lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1])]
+        ids, lengths = self.gather(at)
         last = np.cumsum([len(p) for p in split]) - 1
-        return ids, np.diff(ends[last], prepend=0)
+        return ids, np.diff(np.cumsum(lengths)[last], prepend=0)
 
 
 _ENCODERS: dict[str, Encoder] = {}

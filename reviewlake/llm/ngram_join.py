@@ -13,9 +13,10 @@ The boundary is the largest group whose subsets cost no more than its lists, by
 
 Lists are scanned without making all pairs of a group. First each list's members are compared with its most
 central one (whose lists are longest), linked ones are joined to components, and only members of different
-components that share a list are compared after that, each pair once. A sketch bounds the difference of
-a pair from below before the sets themselves are compared. No candidate is capped. Components come from
-label propagation with pointer jumping over tables in the shared folder.
+components that share a list are compared after that. They are compared by sketches, which bound the difference
+of a pair from below, within a task: a list travels as its members, a large one as blocks, and only pairs
+that the sketches allow become rows, whose sets are then compared. No candidate is capped. Components come
+from label propagation with pointer jumping over tables in the shared folder.
 
 Edge cases: null or empty text has no shingles, links with nothing and is its own component; fewer words than a
 shingle make one shingle; repeated rows and ids share a class if their sets are equal; the component of rows
@@ -40,7 +41,9 @@ from reviewlake.llm._shared import stored
 WORDS, PERCENT = 5, 80
 #: Rows that one entry of an inverted list costs, against one subset: it is also scanned and verified.
 LIST_COST = 24
-BUCKETS = 128
+BUCKETS = 256
+#: A list of more members is compared in blocks of about so many.
+BLOCK = 1024
 #: The most classes with candidates whose ids are broadcast (8 bytes each); more are joined by shuffle.
 MOST_BROADCAST = 2_000_000
 
@@ -220,12 +223,63 @@ def linked(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
     open_ = lists.select("key", "sig").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
     spread = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     open_ = stored(open_.join(spread, "key", "left_semi"), "ngram-open")
-    other = open_.select("key", F.col("sig").alias("sig2"), F.col("label").alias("label2"))
-    cross = open_.join(other, "key").filter("label < label2").select(*_ordered(F.col("sig"), F.col("sig2"))).distinct().join(star, ["a", "b"], "left_anti")
+    cross = _crossing(open_, sets, percent)
     more = verified(cross, sets, percent)
     return connected(stored(links.unionByName(more), "ngram-all-links"))
 
 
+def _crossing(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: members of one list and of different components that size and sketch allow to link."""
+    blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    held = open_.join(blocks, "key").join(sets.select("sig", "n", "sketch"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = held.select("key", "sig", "label", "n", "sketch", "block", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    dealt = dealt.select("key", "x", "y", "block", "n", "sig", "label", "sketch").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")
+    return dealt.mapInArrow(_compare(percent), "a long, b long").distinct()
+
+
+def _compare(percent: int):
+    def pairs(rows: pa.Table) -> pa.RecordBatch:
+        key, x, y, block, n, sig, label = (rows.column(c).to_numpy() for c in ("key", "x", "y", "block", "n", "sig", "label"))
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, BUCKETS)
+        out, step, live = [], 1, np.arange(len(key))
+        while len(live):
+            live = live[live + step < len(key)]
+            to = live + step
+            near = (key[live] == key[to]) & (x[live] == x[to]) & (y[live] == y[to]) & (100 * n[live] >= percent * n[to])
+            live, to = live[near], to[near]
+            use = (label[live] != label[to]) & ((x[live] == y[live]) | (block[live] != block[to]))
+            i, j = live[use], to[use]
+            total = n[i] + n[j]
+            apart = total - 2 * -(-percent * total // (100 + percent))
+            for k in range(0, len(i), 4096):
+                a, b = i[k : k + 4096], j[k : k + 4096]
+                gap = np.maximum(sketch[a], sketch[b]) - np.minimum(sketch[a], sketch[b])
+                good = np.minimum(gap, np.uint8(0) - gap).sum(axis=1, dtype=np.int64) <= apart[k : k + 4096]
+                out.append(np.stack([sig[a[good]], sig[b[good]]]))
+            step += 1
+        found = np.unique(np.sort(np.concatenate(out, axis=1), axis=0), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last group of a batch may go on in the next one
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            key, x, y = (rows.column(c).to_numpy() for c in ("key", "x", "y"))
+            ends = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            cut = int(ends[-1]) if len(ends) else 0
+            if cut:
+                yield pairs(rows.slice(0, cut))
+            held = rows.slice(cut)
+        if held is not None:
+            yield pairs(held)
+
+    return run
+
+
 def _by(*columns: str):
     from pyspark.sql import Window
 

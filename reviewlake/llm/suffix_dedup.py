@@ -15,7 +15,7 @@ Every byte covered by a 50-byte string that also starts in a document with a sma
 4. Verdicts go back to all members of the classes and are marked in their documents.
 
 Shards are dealt as packed columns, so the fingerprints cost few bytes. A shard works on pieces of about
-1 MB; a minimiser's stretches stay together, and equal ones take a fingerprint and no bytes.
+1 MB; a minimiser's stretches stay together, and equal ones take a record and no bytes.
 
 Edge cases: null text is empty; texts under 50 bytes lose nothing; a null doc_id is larger than any; rows with
 one doc_id don't act on each other; repeated rows get equal results; an empty table gives an empty result.
@@ -29,6 +29,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,27 +39,47 @@ LENGTH = 50
 KMER = 16
 NULL_ID = np.iinfo(np.int64).max
 SEPARATOR = 0xFF  # no byte of UTF-8
-SHARDS_PER_PARTITION = 8
+SHARDS_PER_PARTITION = 4
 PIECE = 1 << 20
 SEGMENT = 1 << 20
-#: name, type and stored bytes of the packed columns
+#: name, type and stored bytes of the packed columns; doc is stored as differences
 FIELDS = (("h", np.uint64, 6), ("c", np.uint64, 5), ("doc", np.int64, 8), ("tie", np.int64, 4), ("at", np.int64, 5), ("span", np.int64, 1))
+#: A shared stretch: class in its shard, document, place, windows less one; first: 1 begins a class, 2 a minimiser too.
+RECORD = np.dtype([("cls", "<u4"), ("shard", "<u4"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("span", "u1"), ("first", "u1")])
+HIT = np.dtype([("at", "<u4"), ("bits", "<i8")])
 _U64 = np.uint64
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
 def pack(columns: dict[str, np.ndarray]) -> bytes:
     n = len(columns["h"])
-    return b"".join(np.ascontiguousarray(columns[name].astype(kind, copy=False)).view(np.uint8).reshape(n, 8)[:, :size].T.tobytes() for name, kind, size in FIELDS)
+    columns = columns | {"doc": np.diff(columns["doc"], prepend=0)}
+    return squeezed(b"".join(np.ascontiguousarray(columns[name].astype(kind, copy=False)).view(np.uint8).reshape(n, 8)[:, :size].T.tobytes() for name, kind, size in FIELDS))
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
+    blob = zstandard.ZstdDecompressor().decompress(blob)
     n, out, at = len(blob) // sum(f[2] for f in FIELDS), {}, 0
     data = np.frombuffer(blob, np.uint8)
     for name, kind, size in FIELDS:
         wide = np.zeros((n, 8), np.uint8)
         wide[:, :size] = data[at : at + n * size].reshape(size, n).T
         out[name], at = wide.view(kind).reshape(n), at + n * size
-    return out
+    return out | {"doc": np.cumsum(out["doc"])}
+
+
+def sliced(records: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of the records between cuts, over one buffer."""
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * records.itemsize).astype(np.int64)), pa.py_buffer(records.tobytes())]).cast(pa.binary())
+
+
+def records_of(blobs: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """All records of binary values, and the number of records of each value."""
+    data, edges = H.buffers(blobs)
+    return np.frombuffer(data[edges[0] : edges[-1]].tobytes(), kind), np.diff(edges) // kind.itemsize
 
 
 def stretches(data: np.ndarray, edges: np.ndarray, length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +121,7 @@ def _deal(shards: int):
         for batch in batches:
             data, edges = H.buffers(batch.column("text"))
             ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
-            ties = batch.column("tie").to_numpy().astype(np.int64) & 0xFFFFFFFF
+            ties = batch.column("tie").to_numpy()
             row = 0
             while row < len(ids):
                 end = max(row + 1, int(np.searchsorted(edges, edges[row] + PIECE, "right")) - 1)
@@ -127,34 +148,33 @@ def _deal(shards: int):
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[tuple]]:
+def _gathered(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list[tuple]]]:
     """The rows of each shard, from batches sorted by shard."""
     rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("shard", *names)), strict=True))
-    for _, group in groupby(rows, key=lambda r: r[0]):
-        yield [r[1:] for r in group]
+    for shard, group in groupby(rows, key=lambda r: r[0]):
+        yield shard, [r[1:] for r in group]
 
 
 def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
     return {name: np.concatenate([p[name] for p in parts]) for name, _, _ in FIELDS}
 
 
-def _by_doc(found: dict[str, np.ndarray], extra: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((found["at"], found["tie"], found["doc"]))
-    found, extra = ({n: x[order] for n, x in y.items()} for y in (found, extra))
-    change = np.flatnonzero((np.diff(found["doc"]) != 0) | (np.diff(found["tie"]) != 0)) + 1
-    cuts = np.concatenate([[0], change, [len(order)]])
-    for k in range(0, len(cuts) - 1, 10_000):
-        some = list(zip(cuts[k : k + 10_000], cuts[k + 1 : k + 10_001], strict=False))
-        heads = [i for i, _ in some]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found["doc"][heads]), pa.array(found["tie"][heads]), pa.array([pack({n: x[i:j] for n, x in found.items()}) for i, j in some], pa.binary()), *(pa.array([x[i:j].tobytes() for i, j in some], pa.binary()) for x in extra.values())],
-            ["doc", "tie", "rows", *extra],
-        )
+def _by_doc(doc: np.ndarray, tie: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
+    order = np.lexsort((tie, doc))
+    doc, tie, records = doc[order], tie[order], records[order]
+    cuts = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(tie) != 0)) + 1, [len(order)]])
+    for k in range(0, len(cuts) - 1, 50_000):
+        some = cuts[k : k + 50_001]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array(tie[some[:-1]].astype(np.int64)), sliced(records[some[0] : some[-1]], some - some[0])], ["doc", "tie", "rows"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches whose minimiser is in two documents or more; `first` marks one of each class."""
-    for rows in _gathered(batches, "rows"):
+    """Records of the stretches whose minimiser is in two documents or more, by document.
+
+    Those of the task's few shards are put together, so that a document takes one row.
+    """
+    parts = []
+    for shard, rows in _gathered(batches, "rows"):
         all_ = _joined([unpack(r[0]) for r in rows])
         order = np.argsort(all_["h"], kind="stable")
         h, doc = all_["h"][order], all_["doc"][order]
@@ -166,37 +186,39 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_ = {n: x[keep] for n, x in all_.items()}
         order = np.lexsort((all_["at"], all_["tie"], all_["doc"], all_["span"], all_["c"], all_["h"]))
         all_ = {n: x[order] for n, x in all_.items()}
-        first = np.ones(len(order), bool)
-        first[1:] = (all_["h"][1:] != all_["h"][:-1]) | (all_["c"][1:] != all_["c"][:-1]) | (all_["span"][1:] != all_["span"][:-1])
-        yield from _by_doc(all_, {"first": first})
-
-
-def _fetch(shards: int):
-    """Adds the bytes of first stretches and deals them to the shards again."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, edges = H.buffers(batch.column("text"))
-            parts, firsts, texts = [], [], []
-            for row, held in enumerate(batch.column("held").to_pylist()):
-                mine = _joined([unpack(x["rows"]) for x in held])
-                first = np.concatenate([np.frombuffer(x["first"], bool) for x in held])
-                parts.append(mine)
-                firsts.append(first)
-                texts += [data[a : a + s].tobytes() if f else b"" for a, s, f in zip(mine["at"] + edges[row], mine["span"] + LENGTH, first, strict=True)]
-            if not parts:
-                continue
-            all_, first, text = _joined(parts), np.concatenate(firsts), np.array(texts, object)
-            part = (all_["h"] % _U64(shards)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(part[order])) + 1, [len(order)]])
-            groups = [order[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part[g[0]] for g in groups]), pa.array([pack({n: x[g] for n, x in all_.items()}) for g in groups], pa.binary()), pa.array([first[g].tobytes() for g in groups], pa.binary()), pa.array([b"".join(text[g]) for g in groups], pa.binary())],
-                ["shard", "rows", "first", "bytes"],
-            )
-
-    return run
+        group, first = np.ones(len(order), bool), np.ones(len(order), bool)
+        group[1:] = all_["h"][1:] != all_["h"][:-1]
+        first[1:] = group[1:] | (all_["c"][1:] != all_["c"][:-1]) | (all_["span"][1:] != all_["span"][:-1])
+        records = np.zeros(len(order), RECORD)
+        records["cls"], records["shard"], records["first"] = np.cumsum(first) - 1, shard, first.astype(np.uint8) + group
+        for name in ("doc", "tie", "at", "span"):
+            records[name] = all_[name]
+        parts.append(records)
+    if parts:
+        records = np.concatenate(parts)
+        yield from _by_doc(records["doc"], records["tie"], records)
+
+
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the bytes of first stretches and deals the records to their shards again."""
+    for batch in batches:
+        data, edges = H.buffers(batch.column("text"))
+        held = batch.column("held")
+        records, counts = records_of(held.flatten(), RECORD)
+        if not len(records):
+            continue
+        row = np.repeat(np.repeat(np.arange(len(held)), held.value_lengths().to_numpy()), counts)
+        order = np.argsort(records["shard"], kind="stable")
+        records, row = records[order], row[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(records["shard"])) + 1, [len(order)]])
+        sizes = np.where(records["first"] > 0, records["span"].astype(np.int64) + LENGTH, 0)
+        ends = np.cumsum(sizes)
+        places = np.repeat(edges[row] + records["at"] - (ends - sizes), sizes) + np.arange(ends[-1])
+        bytes_ = data[places]
+        edge = np.concatenate([[0], ends])[cuts]
+        rows = [squeezed(np.ascontiguousarray(records[a:b].view(np.uint8).reshape(-1, RECORD.itemsize).T).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        texts = [squeezed(bytes_[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(records["shard"][cuts[:-1]].astype(np.int64)), pa.array(rows, pa.binary()), pa.array(texts, pa.binary())], ["shard", "rows", "bytes"])
 
 
 def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -366,40 +388,37 @@ def least_docs(texts: list[np.ndarray], docs: np.ndarray, length: int = LENGTH)
 
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each document, its stretches with the windows to remove as bits."""
-    for rows in _gathered(batches, "rows", "first", "bytes"):
-        parts = [unpack(r[0]) for r in rows]
-        all_, first = _joined(parts), np.concatenate([np.frombuffer(r[1], bool) for r in rows])
-        starts = np.zeros(len(first), np.int64)
-        sizes = np.where(first, all_["span"] + LENGTH, 0)
+    for _, rows in _gathered(batches, "rows", "bytes"):
+        zstd = zstandard.ZstdDecompressor()
+        columns = [np.frombuffer(zstd.decompress(r[0]), np.uint8).reshape(RECORD.itemsize, -1).T for r in rows]
+        records = np.ascontiguousarray(np.concatenate(columns)).view(RECORD).reshape(-1)
+        data = np.frombuffer(b"".join(zstd.decompress(r[1]) for r in rows), np.uint8)
+        sizes = np.where(records["first"] > 0, records["span"].astype(np.int64) + LENGTH, 0)
         starts = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
-        order = np.lexsort((~first, all_["span"], all_["c"], all_["h"]))
-        h, c, span = (all_[n][order] for n in ("h", "c", "span"))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (span[1:] != span[:-1])
-        of = np.cumsum(new) - 1  # class of each in order
-        leaders = order[new]
-        least = np.full((len(leaders), LENGTH), NULL_ID, np.int64)
-        heads = all_["h"][leaders]
-        cuts, at = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1], [True]])), 0
+        leaders = np.flatnonzero(records["first"])
+        leaders = leaders[np.argsort(records["cls"][leaders], kind="stable")]
+        # A row that is there twice leads a class twice; the first will do. Its minimiser is told by either.
+        fresh = np.ones(len(leaders), bool)
+        fresh[1:] = records["cls"][leaders][1:] != records["cls"][leaders][:-1]
+        leaders = leaders[fresh]
+        least = np.full((len(leaders), LENGTH - KMER + 1), NULL_ID, np.int64)
+        cuts, at = np.concatenate([np.flatnonzero(records["first"][leaders] == 2), [len(leaders)]]), 0
         volume = np.concatenate([[0], np.cumsum(sizes[leaders])])
         while at < len(cuts) - 1:
-            to = at + 1
-            while to < len(cuts) - 1 and volume[cuts[to + 1]] - volume[cuts[at]] <= PIECE:
-                to += 1
-            some = np.arange(cuts[at], cuts[to])
-            texts = [data[starts[k] : starts[k] + sizes[k]] for k in leaders[some]]
-            for k, found in zip(some, least_docs(texts, all_["doc"][leaders[some]]), strict=True):
+            to = max(at + 1, int(np.searchsorted(volume[cuts], volume[cuts[at]] + PIECE, "right")) - 1)
+            some = leaders[cuts[at] : cuts[to]]
+            texts = [data[a : a + n] for a, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
+            for k, found in enumerate(least_docs(texts, records["doc"][some]), int(cuts[at])):
                 least[k, : len(found)] = found
             at = to
-        bits = np.zeros(len(order), np.int64)
-        doc = all_["doc"][order]
-        for j in range(LENGTH - KMER + 1):
-            bits |= (least[of, j] < doc).astype(np.int64) << j
-        hit = bits != 0
-        if hit.any():
-            found = {n: x[order][hit] for n, x in all_.items()}
-            yield from _by_doc(found, {"bits": bits[hit]})
+        bits = np.zeros(len(records), np.int64)
+        for j in range(least.shape[1]):
+            bits |= (least[records["cls"], j] < records["doc"]).astype(np.int64) << j
+        hit = np.flatnonzero(bits)
+        if len(hit):
+            found = np.zeros(len(hit), HIT)
+            found["at"], found["bits"] = records["at"][hit], bits[hit]
+            yield from _by_doc(records["doc"][hit], records["tie"][hit], found)
 
 
 def marked(size: int, at: np.ndarray, bits: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -415,8 +434,8 @@ def marked(size: int, at: np.ndarray, bits: np.ndarray, length: int = LENGTH) ->
 def _gone(row: list[dict] | None, size: int) -> np.ndarray:
     if not row:
         return np.zeros(size, bool)
-    at = np.concatenate([unpack(x["rows"])["at"] for x in row])
-    return marked(size, at, np.concatenate([np.frombuffer(x["bits"], np.int64) for x in row]))
+    hits = np.frombuffer(b"".join(x["rows"] for x in row), HIT)
+    return marked(size, hits["at"].astype(np.int64), hits["bits"])
 
 
 def _finish(with_text: bool):
@@ -445,13 +464,15 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = SHARDS_PER_PARTITION * partitions
-    base = docs.select("doc_id", F.hash("text").alias("tie"), "text")
-    dealt = base.mapInArrow(_deal(shards), "shard long, rows binary").repartition(partitions, "shard").sortWithinPartitions("shard")
-    shared = dealt.mapInArrow(_shared, "doc long, tie long, rows binary, first binary")
-    keyed = base.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(NULL_ID))).alias("doc"), F.col("tie").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"))
-    held = shared.groupBy("doc", "tie").agg(F.collect_list(F.struct("rows", "first")).alias("held"))
-    fetched = keyed.select("doc", "tie", "text").dropDuplicates(["doc", "tie"]).join(held, ["doc", "tie"]).select("text", "held")
-    again = fetched.mapInArrow(_fetch(shards), "shard long, rows binary, first binary, bytes binary").repartition(partitions, "shard").sortWithinPartitions("shard")
-    hits = again.mapInArrow(_decide, "doc long, tie long, rows binary, bits binary").groupBy("doc", "tie").agg(F.collect_list(F.struct("rows", "bits")).alias("hits"))
+    # Texts are told apart by a hash only where ids repeat; else it is a constant and no key.
+    ids = F.coalesce("doc_id", F.lit(int(NULL_ID)))
+    repeat = not docs.groupBy(ids.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    keyed = docs.select("doc_id", "text", ids.alias("doc"), (F.hash("text") if repeat else F.lit(0)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"))
+    keys = ["doc", "tie"] if repeat else ["doc"]
+    dealt = keyed.select("doc_id", "tie", "text").mapInArrow(_deal(shards), "shard long, rows binary").repartition(partitions, "shard").sortWithinPartitions("shard")
+    held = dealt.mapInArrow(_shared, "doc long, tie long, rows binary").groupBy(*keys).agg(F.collect_list("rows").alias("held"))
+    fetched = keyed.join(held, keys).select("doc_id", "text", "held")  # the same columns as below, so one shuffle of texts serves both
+    again = fetched.mapInArrow(_fetch, "shard long, rows binary, bytes binary").repartition(partitions, "shard").sortWithinPartitions("shard")
+    hits = again.mapInArrow(_decide, "doc long, tie long, rows binary").groupBy(*keys).agg(F.collect_list(F.struct("rows")).alias("hits"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return keyed.join(hits, ["doc", "tie"], "left").select("doc_id", "text", "hits").mapInArrow(_finish(with_text), schema)
+    return keyed.join(hits, keys, "left").select("doc_id", "text", "hits").mapInArrow(_finish(with_text), schema)

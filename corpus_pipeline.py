@@ -17,7 +17,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and line frequencies keep."""
+    """Documents that the base rules and line frequencies keep, without their boilerplate lines."""
     return quality.keep(docs)
 
 

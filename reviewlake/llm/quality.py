@@ -4,10 +4,11 @@ Base rules look at one text: too few words, or too many words in repeated 3-word
 looks across a host (here the source): lines are normalised (lower case, white space as one space) and
 hashed, and for each host and line the distinct documents are counted. Exact copies of one text count
 as one document, since copies are the near-duplicate stage's business. A line found in more documents than
-the host's limit is boilerplate and is removed; a document with too little left is depleted and rejected.
+the host's limit is boilerplate and is removed; a document with too little left is depleted and rejected. One call,
+rules(), gives the verdict and the text without those lines; the query and the pipeline's stage both use it.
 
 Skew: the distinct step is dealt by host, text and line, so a hot host or line is spread; the count that
-follows is pre-aggregated by task. Documents are joined only to lines above a limit.
+follows is pre-aggregated by task. Only texts that have lines above a limit go through Python a second time.
 
 Edge cases: null or empty text has no words, fails the base rules and is not kept; a null source is a host of
 its own; repeated rows get equal results; an empty table gives an empty result; texts may be of any length.
@@ -22,6 +23,7 @@ from hashlib import blake2b
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from reviewlake.llm._shared import stored
 
@@ -53,6 +55,11 @@ def repeated(words: list[bytes], window: int = WINDOW) -> int:
     return total
 
 
+def line_key(parts: list[bytes]) -> int:
+    """The hash of a normalised line, from its words."""
+    return int.from_bytes(blake2b(b" ".join(parts).decode().lower().encode(), digest_size=8).digest(), "big", signed=True)
+
+
 def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int, int]]]:
     """The base figures, and (hash, words in all its occurrences) for each distinct normalised line."""
     if not text:
@@ -68,7 +75,7 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int,
         if line in seen:
             duplicates += 1
         seen.add(line)
-        key = int.from_bytes(blake2b(b" ".join(parts).decode().lower().encode(), digest_size=8).digest(), "big", signed=True)
+        key = line_key(parts)
         lines[key] = lines.get(key, 0) + len(parts)
     chars = len(text) - sum(map(text.count, SPACES))
     return len(words), chars, sum(map(text.count, SYMBOLS)), duplicates, repeated(words), list(lines.items())
@@ -76,10 +83,10 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int,
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
-    names = ["doc_id", "host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+    names = ["host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
     for batch in batches:
         found = [measure(t.as_py()) for t in batch.column("text")]
-        columns = [batch.column(n) for n in names[:3]]
+        columns = [batch.column(n) for n in names[:2]]
         columns += [pa.array([f[k] for f in found], pa.int64()) for k in range(5)]
         columns.append(pa.array([[{"line": h, "words": n} for h, n in f[5]] for f in found], kind))
         yield pa.RecordBatch.from_arrays(columns, names)
@@ -90,54 +97,51 @@ def host_of(source: Column) -> Column:
     return F.when(source.isNull(), "").otherwise(F.concat(F.lit("="), source))
 
 
-def keyed(docs: DataFrame, host: str = "source") -> DataFrame:
-    return docs.withColumn("host", host_of(F.col(host).cast("string"))).withColumn("text_hash", F.xxhash64("text"))
+def without(text: str, gone: set[int]) -> str:
+    """text without the lines whose hashes are in gone; lines of white space stay."""
+    return "\n".join(x for x in text.split("\n") if not (parts := x.encode().split()) or line_key(parts) not in gone)
 
 
-def judge(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
-    """doc_id, host, text_hash, the base figures, base_failed, removed_words and kept for each row of docs."""
-    base = keyed(docs, host).select("doc_id", "host", "text_hash", "text")
-    stats = stored(base.mapInArrow(_measure, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, host string, text_hash long, {STATS}, {LINES}"), "quality")
-    texts = stats.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.words").dropDuplicates(["host", "text_hash", "line"])
-    hosts = stats.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+@F.arrow_udf(StringType())
+def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
+    return pa.array([None if t.as_py() is None else without(t.as_py(), set(g.as_py())) for t, g in zip(text, gone, strict=True)], pa.string())
+
+
+def rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """doc, the base figures, removed_words, base_failed and kept for each row of docs.
+
+    doc is the whole row as a struct, so that no name of docs meets one of ours, its text without boilerplate lines.
+    """
+    own = docs.select(F.struct(F.col("*")).alias("doc"), host_of(F.col(host).cast("string")).alias("host"), F.xxhash64("text").alias("text_hash"))
+    base = own.select("host", "text_hash", F.col("doc.text").alias("text"))
+    stats = stored(base.mapInArrow(_measure, f"host string, text_hash long, {STATS}, {LINES}"), "quality").dropDuplicates(["host", "text_hash"])
+    texts = stats.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.words")
+    hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = (
         texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_docs)
         .join(hosts, "host").filter(F.col("docs") > line_share * F.col("host_docs")).select("host", "line")
     )
-    removed = texts.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"))
+    removed = texts.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    return (
+    verdicts = (
         stats.drop("lines").join(removed, ["host", "text_hash"], "left").fillna(0, ["removed_words"])
         .withColumn("base_failed", failed)
         .withColumn("kept", ~failed & (left > 0) & (left >= left_share * F.col("n_words")))
     )
+    cut = F.when(F.col("gone").isNotNull(), F.col("doc.text"))
+    return (
+        own.join(verdicts, ["host", "text_hash"]).withColumn("cut", _without(cut, "gone"))
+        .withColumn("doc", F.col("doc").withField("text", F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.col("cut")))).drop("host", "text_hash", "gone", "cut")
+    )
+
+
+def judge(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+    """doc_id, the figures of rules() and kept_sha256, of the text without its boilerplate lines, for each row of docs."""
+    found = rules(docs, host, line_docs, line_share, left_share)
+    return found.select("doc.doc_id", *found.columns[1:], F.sha2(F.coalesce("doc.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def keep(docs: DataFrame, host: str = "source") -> DataFrame:
-    """The rows of docs that the rules keep, with all their columns. A verdict depends on host and text only."""
-    rejected = judge(docs, host).filter(~F.col("kept")).select(F.col("host").alias("__host"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__host", host_of(F.col(host).cast("string"))).withColumn("__hash", F.xxhash64("text"))
-    return own.join(rejected, ["__host", "__hash"], "left_anti").select(*docs.columns)
-
-
-def clean_lines(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """docs with text without its boilerplate lines, by the same counts; Python only where a text has some."""
-    own = [c for c in docs.columns if c not in ("host", "text_hash", "_drop")]
-    if len(own) < len(docs.columns):
-        raise ValueError("docs has a column named host, text_hash or _drop")
-    base = keyed(docs, host)
-    line = F.explode(F.array_distinct(F.split("text", "\n")))
-    norm = F.lower(F.btrim(F.regexp_replace("l", r"[\x20\x09-\x0D]+", " "), F.lit(" ")))
-    texts = base.select("host", "text_hash", line.alias("l")).select("host", "text_hash", "l", F.xxhash64(norm).alias("line"), norm.alias("norm")).filter(F.col("norm") != "")
-    hosts = base.select("host", "text_hash").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    frequent = (
-        texts.select("host", "text_hash", "line").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs"))
-        .join(hosts, "host").filter((F.col("docs") > line_docs) & (F.col("docs") > line_share * F.col("host_docs")))
-    )
-    drop = texts.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.collect_set("l").alias("_drop"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_drop", x)), "\n")
-    return (
-        base.join(drop, ["host", "text_hash"], "left")
-        .withColumn("text", F.when(F.col("_drop").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
-    )
+    """The rows of docs that the rules keep, with all their columns, the text without its boilerplate lines."""
+    return rules(docs, host).filter("kept").select("doc.*")

@@ -28,7 +28,7 @@ def op4_shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(read_table(spark, sf_dir, "documents")).drop("host", "text_hash")
+    return quality.judge(read_table(spark, sf_dir, "documents"))
 
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -185,6 +185,59 @@ def test_quality(spark, docs, empty):
     assert not any(kept[100 + k][1] for k in range(10))
 
 
+def plain_rules(rows, limit=quality.LINE_DOCS, share=0.05):
+    """(row with its text cleaned, removed words, kept) by plain loops; rows are (doc_id, text, source)."""
+    norm = lambda x: " ".join(words(x)).lower()
+    seen = defaultdict(set)
+    for _, text, source in rows:
+        for x in (text or "").split("\n"):
+            if norm(x):
+                seen[source, norm(x)].add(text)
+    size = Counter(s for s, _ in {(s, t) for _, t, s in rows})
+    out = []
+    for doc_id, text, source in rows:
+        gone = [x for x in (text or "").split("\n") if norm(x) and len(seen[source, norm(x)]) > limit and len(seen[source, norm(x)]) > share * size[source]]
+        left = None if text is None else "\n".join(x for x in text.split("\n") if x not in gone)
+        w = words(text)
+        grams = list(zip(w, w[1:], w[2:], strict=False))
+        counts = Counter(grams)
+        marked = {k + j for k, g in enumerate(grams) if counts[g] > 1 for j in range(3)}
+        failed = len(w) < 50 or 2 * len(marked) > len(w)
+        out.append(((doc_id, left, source), sum(len(words(x)) for x in gone), not failed and 4 * len(words(left)) >= len(w)))
+    return out
+
+
+def boilerplate():
+    """Sources in which lines are in many documents, in several spellings, alone or not, and in copies of a text."""
+    say = lambda k, n: " ".join(f"u{k}x{j}" for j in range(n))
+    rows = []
+    for k in range(60):
+        source = (None, "a", "b")[k % 3] if k < 30 else "a"
+        plate = ("All rights  reserved", "ALL RIGHTS\treserved ", "all rights reserved")[k % 3]
+        rows.append((k, f"{say(k, 40)}\n{plate}\n\n{say(k, 30)[::-1]}\n{plate}\n", source))
+    rows += [(100 + k, f"Ünder Licence A\n{say(100 + k, 60)}" if k != 7 else "Ünder Licence A", "c") for k in range(24)]
+    rows += [(200 + k, f"{say(1, 60)}\none text in copies", "d") for k in range(25)]
+    rows += [(300 + k, f"{say(7, 300)}\n{say(300 + k, 55)}", "e") for k in range(22)]
+    return rows + [(400, None, "a"), (401, "", "a"), (None, f"{say(9, 60)}\nall rights reserved", "a")]
+
+
+def test_quality_cleans(spark):
+    rows = boilerplate()
+    names = "doc_id long, text string, source string, host int, text_hash string, _drop string, kept int, n_words int, doc int"
+    extra = (1, "t", "d", 2, 3, 4)
+    table = spark.createDataFrame([(*r, *extra) for r in rows], names).repartition(3)
+    want = plain_rules(rows)
+    got = quality.rules(table)
+    assert listed(got, "doc.doc_id", "doc.text", "doc.source", "removed_words", "kept") == sorted(((*r, n, kept) for r, n, kept in want), key=key)
+    kept = quality.keep(table)
+    assert kept.columns == table.columns
+    assert listed(kept, "*") == sorted(((*r, *extra) for r, _, yes in want if yes), key=key)
+    sums = [(r[0], n, yes, sha256((r[1] or "").encode()).hexdigest()) for r, n, yes in want]
+    assert listed(quality.judge(table), "doc_id", "removed_words", "kept", "kept_sha256") == sorted(sums, key=key)
+    assert any(n and yes for _, n, yes in want) and any(n and not yes for _, n, yes in want)
+    assert not any("reserved" in (r[1] or "").lower() for r, _, yes in want if yes and r[2] == "a")
+
+
 # 6
 def test_tokens(spark, docs, empty, tmp_path):
     import public_tokenizers

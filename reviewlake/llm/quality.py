@@ -30,9 +30,8 @@ from reviewlake.llm._shared import stored
 MIN_WORDS = 50
 MAX_REPEAT = 50
 WINDOW = 3
-#: A line is boilerplate in more documents of a host than either figure: so many, or this share.
+#: A line is boilerplate in more distinct texts of a host than this, whatever the size of the host.
 LINE_DOCS = 20
-LINE_SHARE = 0.05
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.25
 SPACES = " \t\n\x0b\f\r"
@@ -107,7 +106,7 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array([None if t.as_py() is None else without(t.as_py(), set(g.as_py())) for t, g in zip(text, gone, strict=True)], pa.string())
 
 
-def rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
     """doc, the base figures, removed_words, base_failed and kept for each row of docs.
 
     doc is the whole row as a struct, so that no name of docs meets one of ours, its text without boilerplate lines.
@@ -116,11 +115,7 @@ def rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, lin
     base = own.select("host", "text_hash", F.col("doc.text").alias("text"))
     stats = stored(base.mapInArrow(_measure, f"host string, text_hash long, {STATS}, {LINES}"), "quality").dropDuplicates(["host", "text_hash"])
     texts = stats.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.words")
-    hosts = stats.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    frequent = (
-        texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_docs)
-        .join(hosts, "host").filter(F.col("docs") > line_share * F.col("host_docs")).select("host", "line")
-    )
+    frequent = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_docs).select("host", "line")
     removed = texts.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
@@ -136,9 +131,9 @@ def rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, lin
     )
 
 
-def judge(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, left_share: float = LEFT_SHARE) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
     """doc_id, the figures of rules() and kept_sha256, of the text without its boilerplate lines, for each row of docs."""
-    found = rules(docs, host, line_docs, line_share, left_share)
+    found = rules(docs.select("doc_id", F.col(host).alias("source"), "text"), "source", line_docs, left_share)
     return found.select("doc.doc_id", *found.columns[1:], F.sha2(F.coalesce("doc.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

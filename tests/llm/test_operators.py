@@ -185,7 +185,7 @@ def test_quality(spark, docs, empty):
     assert not any(kept[100 + k][1] for k in range(10))
 
 
-def plain_rules(rows, limit=quality.LINE_DOCS, share=0.05):
+def plain_rules(rows, limit=quality.LINE_DOCS):
     """(row with its text cleaned, removed words, kept) by plain loops; rows are (doc_id, text, source)."""
     norm = lambda x: " ".join(words(x)).lower()
     seen = defaultdict(set)
@@ -193,10 +193,9 @@ def plain_rules(rows, limit=quality.LINE_DOCS, share=0.05):
         for x in (text or "").split("\n"):
             if norm(x):
                 seen[source, norm(x)].add(text)
-    size = Counter(s for s, _ in {(s, t) for _, t, s in rows})
     out = []
     for doc_id, text, source in rows:
-        gone = [x for x in (text or "").split("\n") if norm(x) and len(seen[source, norm(x)]) > limit and len(seen[source, norm(x)]) > share * size[source]]
+        gone = [x for x in (text or "").split("\n") if norm(x) and len(seen[source, norm(x)]) > limit]
         left = None if text is None else "\n".join(x for x in text.split("\n") if x not in gone)
         w = words(text)
         grams = list(zip(w, w[1:], w[2:], strict=False))
@@ -238,6 +237,16 @@ def test_quality_cleans(spark):
     assert not any("reserved" in (r[1] or "").lower() for r, _, yes in want if yes and r[2] == "a")
 
 
+def test_quality_on_a_hot_source(spark):
+    """The same licence line goes from a source of 600 texts and from one of 30; one in 20 texts stays in both."""
+    own = lambda k: " ".join(f"v{k}x{j}" for j in range(55))
+    rows = [(1000 * s + k, ("licence line\n" if k < 25 else "") + ("in twenty\n" if k < 20 else "") + own(1000 * s + k), f"s{s}") for s, n in ((0, 600), (1, 30)) for k in range(n)]
+    got = quality.rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    want = [(d, t.replace("licence line\n", ""), s, 2 * ("licence" in t), True) for d, t, s in rows]
+    assert listed(got, "doc.doc_id", "doc.text", "doc.source", "removed_words", "kept") == sorted(want, key=key)
+    assert sorted(((*r, n, yes) for r, n, yes in plain_rules(rows)), key=key) == sorted(want, key=key)
+
+
 # 6
 def test_tokens(spark, docs, empty, tmp_path):
     import public_tokenizers

@@ -104,24 +104,51 @@ def components(edges: DataFrame) -> DataFrame:
     return labels.select("id", "component")
 
 
+def _trimmed(live: DataFrame) -> DataFrame:
+    """Edges whose ends all have both incoming and outgoing edges, trimmed round by round."""
+    size = live.count()
+    while True:
+        left = live.join(live.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(live.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id")
+        live = written(left, "scc-edges")
+        before, size = size, live.count()
+        if size == before:
+            return live
+
+
 def mutual_reach(edges: DataFrame) -> DataFrame:
     """id, scc: members of strongly connected components of two nodes or more, scc being the smallest member.
 
-    Nodes without an incoming or an outgoing edge are trimmed first, round by round; closure runs on what is left.
+    Nodes without an incoming or an outgoing edge are trimmed first. Each node then takes as colour the least of the
+    nodes that reach it, by a hash so that chains of components need few turns; a component lies within one colour,
+    and what reaches the colour's own node inside it is one. Tables have a row for each node or edge, never for pairs.
     """
-    live = written(edges.select("from_id", "to_id").filter("from_id <> to_id").distinct(), "scc-edges")
-    size = live.count()
-    while True:
-        trimmed = live.join(live.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(live.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id")
-        live = written(trimmed, "scc-edges")
-        left = live.count()
-        if left == size:
-            break
-        size = left
-    reach = written(closure(live, live.select(F.col("from_id").alias("id")).distinct(), reverse=False), "scc-reach")
-    back = reach.select(F.col("seed").alias("id"), F.col("id").alias("seed"))
-    both = reach.select("seed", "id").join(back, ["seed", "id"])
-    return both.groupBy("seed").agg(F.min("id").alias("m")).select(F.col("seed").alias("id"), F.least("seed", "m").alias("scc"))
+    live = _trimmed(written(edges.select("from_id", "to_id").filter("from_id <> to_id").distinct(), "scc-edges"))
+    found = live.select(F.col("from_id").alias("id"), F.col("from_id").alias("root")).limit(0)
+    while not live.isEmpty():
+        rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("k"))
+        colours = written(live.select(F.col("from_id").alias("id")).distinct().select("id", rank.alias("colour"), F.lit(True).alias("moved")), "scc-colours")
+        while not colours.filter("moved").isEmpty():
+            near = live.join(colours.filter("moved").select(F.col("id").alias("from_id"), "colour"), "from_id").groupBy(F.col("to_id").alias("id")).agg(F.min("colour").alias("m"))
+            step = colours.join(near, "id", "left").select("id", F.least("colour", "m").alias("colour"), F.coalesce(F.col("m") < F.col("colour"), F.lit(False)).alias("moved"))
+            colours = written(step, "scc-colours")
+        own = colours.select("id", F.col("colour.k").alias("root"))
+        same = live.join(own.withColumnRenamed("id", "from_id"), "from_id").join(own.select(F.col("id").alias("to_id"), F.col("root").alias("other")), "to_id")
+        same = written(same.filter("root = other").select("from_id", "to_id"), "scc-same")
+        members = frontier = own.filter("id = root")
+        turn = 0
+        while not frontier.isEmpty():
+            turn += 1
+            reached = same.join(frontier.select(F.col("id").alias("to_id"), "root"), "to_id").select(F.col("from_id").alias("id"), "root").distinct()
+            frontier = written(reached.join(members, "id", "left_anti"), "scc-frontier")
+            members = members.unionByName(frontier)
+            if turn % 8 == 0:
+                members = written(members, "scc-members")
+        members = written(members, "scc-members")
+        found = found.unionByName(members)
+        left = same.join(members.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(members.select(F.col("id").alias("to_id")), "to_id", "left_anti")
+        live = _trimmed(written(left.select("from_id", "to_id"), "scc-edges"))
+    least = found.groupBy("root").agg(F.min("id").alias("scc"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return found.join(least, "root").select("id", "scc")
 
 
 def import_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -275,13 +275,24 @@ def import_cycles_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.mutual_reach(sizes(spark, sf_dir))
 
 
+def simple_paths_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Simple paths over all edges of all parts."""
+    return graph.simple_paths(part_edges(spark, sf_dir), 1, 12, 7).select(F.array_join("path", ">").alias("path"))
+
+
+def import_cycles_scc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strongly connected components over all edges of all parts."""
+    return graph.mutual_reach(part_edges(spark, sf_dir))
+
+
 def weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.components(part_edges(spark, sf_dir).filter("kind = 'References'"))
 
 
 def import_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = sizes(spark, sf_dir).withColumn("kind", F.lit("Imports")).withColumn("edge_idx", F.col("to_id").cast("int"))
-    nodes = edges.select(F.col("from_id").alias("id")).union(edges.select("to_id")).distinct().withColumn("kind", F.lit("File"))
+    """Every part as a file that imports the part it references."""
+    edges = part_edges(spark, sf_dir).filter("kind = 'References'").withColumn("kind", F.lit("Imports"))
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("File").alias("kind"))
     return graph.import_cycles(nodes, edges).select(F.array_join("cycle", ">").alias("cycle"))
 
 
@@ -423,7 +434,7 @@ def watch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = (
     rules_first_match, scan_lines, line_stats, discovered_files, changed_contents, magic_numbers, custom_rules, finding_numbering, severity_summary, files_by_language, suppress_inline, suppress_path, suppress_baseline, suppression_breakdown, diff_line_filter,
     lookahead_pairs, file_level_missing, cyclomatic_counts, duplicate_blocks, test_scope, nesting_depth, apply_fixes, toolchain_undeclared, ai_candidates, direct_dependents, dependencies, by_edge_kind, by_edge_kind_reverse, transitive_dependents_d3,
-    transitive_dependents_full, transitive_callers_d3, transitive_dependencies_full, simple_paths, import_cycles_scc, weak_components, import_cycles, unused_exports, changed_nodes, classify_changes, impact_report, impact_summary, blast_radius, diff_dead_code,
+    transitive_dependents_full, transitive_callers_d3, transitive_dependencies_full, simple_paths, simple_paths_parts, import_cycles_scc, import_cycles_scc_parts, weak_components, import_cycles, unused_exports, changed_nodes, classify_changes, impact_report, impact_summary, blast_radius, diff_dead_code,
     deletion_orphans, snapshot_counts, snapshot_roundtrip, function_metrics, resolve_imports, ordered_candidates, run_listing, clean_rate, severity_avgs, week_trend, noisiest_rules, report_trend, sarif_rules, annotations, comment_dedup, watch_batches,
 )
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from reviewlake import queries
 from reviewlake.operators import graph, impact, resolve, store
 from reviewlake.functions.schemas import DATA, EDGES, NODES
 from reviewlake.sources import corpus, parsers
@@ -57,6 +58,52 @@ def test_cycles(spark):
     assert {r["id"]: r["scc"] for r in graph.mutual_reach(frame(spark, pairs)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+def components_of(pairs):
+    """id -> smallest member of its strongly connected component, for those of two nodes or more."""
+    ids = {x for p in pairs for x in p}
+    after = {x: set(reach(pairs, x, reverse=False)) for x in ids}
+    both = {x: {y for y in after[x] if x in after[y]} for x in ids}
+    return {x: min(x, *both[x]) for x in ids if both[x]}
+
+
+def test_mutual_reach(spark):
+    rnd = random.Random(8)
+    chain = [p for k in range(5) for p in ((3 * k, 3 * k + 1), (3 * k + 1, 3 * k + 2), (3 * k + 2, 3 * k), (3 * k, 3 * k + 3))]
+    for pairs in (chain, [(rnd.randrange(40), rnd.randrange(40)) for _ in range(55)]):
+        got = [tuple(r) for r in graph.mutual_reach(frame(spark, pairs)).select("id", "scc").collect()]
+        assert sorted(got) == sorted(components_of(pairs).items())
+
+
+def test_whole_part_graph(spark):
+    """The queries on all parts, not on their 50 sizes."""
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in queries.part_edges(spark, folder).select("from_id", "to_id", "kind").collect()]
+    pairs = [r[:2] for r in rows]
+    assert len({a for a, _ in pairs}) == queries.table(spark, folder, "part").count() > 56
+    assert {r["id"]: r["scc"] for r in queries.import_cycles_scc_parts(spark, folder).collect()} == components_of(pairs)
+    after, paths, want = {}, [[1]], []
+    for a, b in pairs:
+        after.setdefault(a, []).append(b)
+    while paths:
+        path = paths.pop()
+        if path[-1] == 12:
+            want.append(">".join(map(str, path)))
+        elif len(path) < 7:
+            paths += [[*path, x] for x in after[path[-1]] if x not in path]
+    assert want and sorted(r["path"] for r in queries.simple_paths_parts(spark, folder).collect()) == sorted(want)
+    step = {a: b for a, b, kind in rows if kind == "References"}
+    rings = set()
+    for k in step:
+        seen = []
+        while k not in seen:
+            seen.append(k)
+            k = step[k]
+        ring = seen[seen.index(k) :]
+        least = ring.index(min(ring))
+        rings.add(">".join(map(str, ring[least:] + ring[:least])))
+    assert sorted(r["cycle"] for r in queries.import_cycles(spark, folder).collect()) == sorted(rings)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     pairs = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(35)]

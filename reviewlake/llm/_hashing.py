@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,12 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
-_VALUES = np.array([(0xD6E8FEB86659FD93 * (2 * b + 1) ^ (b << 40)) & _MASK for b in range(256)], np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_SEED = np.uint64(0xD6E8FEB86659FD93)
+#: Masks of the first 0 to 8 bytes of a little-endian lane of eight.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Words of more bytes are hashed one by one.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -27,18 +31,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUES = mix(_VALUES)
-_powers: dict[str, np.ndarray] = {}
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on as an integer; behind the end there are zeros."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64 and of its inverse."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, 2 * CHUNK)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            with np.errstate(over="ignore"):
-                _powers[name] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
-    return _powers["up"], _powers["down"]
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of the bytes between each start and end, eight at a time, each step a bijection of what came before.
+
+    Up to eight bytes, spans of one length have different hashes.
+    """
+    wide, left = lanes(data), ends - starts
+    long = np.flatnonzero(left > LONG)
+    at, left = starts.astype(np.int64), np.where(left > LONG, 0, left)
+    with np.errstate(over="ignore"):
+        out = mix(left.astype(np.uint64) * np.uint64(_BASE) + _SEED)
+        live = np.arange(len(starts))
+        while len(live):
+            n = left[live]
+            out[live] = mix(out[live] ^ (wide[at[live]] & MASKS[np.minimum(n, 8)]))
+            live = live[n > 8]
+            at[live] += 8
+            left[live] -= 8
+    for k in long:
+        out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +79,7 @@ def _hash_words(data: np.ndarray, cuts: np.ndarray, space: np.ndarray) -> tuple[
     before[inner] = False
     after[inner - 1] = False
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    up, down = powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[LOWER[data]] * up[: len(data)])])
-        return starts, mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return starts, spans(LOWER[data], starts, ends)
 
 
 def words(column: pa.Array, space: np.ndarray = SPACE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -92,25 +107,30 @@ def words(column: pa.Array, space: np.ndarray = SPACE) -> Iterator[tuple[int, in
         row = end
 
 
+def windows(of: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the shingles of rows that have size words at least, in the order of the words."""
+    n = len(hashes) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    whole = of[:n] == of[size - 1 :]
+    total = hashes[:n][whole]
+    for k in range(1, size):
+        total = mix(total) ^ hashes[k : n + k][whole]
+    return of[:n][whole], mix(total ^ np.uint64(size))
+
+
 def shingles(of: np.ndarray, hashes: np.ndarray, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of the distinct shingles of each row, sorted; fewer words than size are one shingle whole."""
     counts = np.bincount(of, minlength=rows)
-    with np.errstate(over="ignore"):
-        factors = mix(np.arange(1, size + 1, dtype=np.uint64) * np.uint64(_BASE))
-        n = len(hashes) - size + 1
-        if n > 0:
-            total = np.zeros(n, np.uint64)
-            for k in range(size):
-                total += hashes[k : n + k] * factors[k]
-            whole = of[:n] == of[size - 1 :]
-            found, at = mix(total[whole]), of[:n][whole]
-        else:
-            found, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        short = np.flatnonzero((counts > 0) & (counts < size))
-        if short.size:
-            firsts = np.concatenate([[0], np.cumsum(counts)])[short]
-            one = np.array([mix(np.array([(hashes[f : f + counts[r]] * factors[: counts[r]]).sum() + np.uint64(counts[r])], np.uint64))[0] for r, f in zip(short, firsts, strict=True)], np.uint64)
-            found, at = np.concatenate([found, one]), np.concatenate([at, short])
+    at, found = windows(of, hashes, size)
+    short = np.flatnonzero((counts > 0) & (counts < size))
+    if short.size:
+        firsts = (np.cumsum(counts) - counts)[short]
+        one = hashes[firsts]
+        for k in range(1, size):
+            more = np.flatnonzero(counts[short] > k)
+            one[more] = mix(one[more]) ^ hashes[firsts[more] + k]
+        found, at = np.concatenate([found, mix(one ^ counts[short].astype(np.uint64))]), np.concatenate([at, short])
     order = np.lexsort((found, at))
     found, at = found[order], at[order]
     fresh = np.ones(len(found), bool)

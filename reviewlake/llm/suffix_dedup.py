@@ -34,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm import _hashing as H
+from reviewlake.llm._shared import NULL_ID
 
 LENGTH = 50
 KMER = 16
-NULL_ID = np.iinfo(np.int64).max
 SEPARATOR = 0xFF  # no byte of UTF-8
 SHARDS_PER_PARTITION = 4
 PIECE = 1 << 20

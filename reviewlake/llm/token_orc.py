@@ -5,39 +5,64 @@ range, with the ids as an array of 32-bit integers (ORC stores them by integer r
 can be read in parallel; row indexes and the Bloom filter on doc_id let a lookup skip stripes. `part` and
 `row` give the place in the order. Reading back needs the files alone.
 
-Encoding: the byte-level pre-tokeniser always breaks before a space that a non-space follows, so the ids of a
-text are those of its pieces between such breaks. Each distinct piece is given to the tokenizers library
-once, while it is in a bounded memory; other tokenizers get whole texts.
+Encoding: the byte-level pre-tokeniser always breaks at certain places (before a space that a letter, digit or mark
+follows, around a newline between such, before a mark behind a letter), so the ids of a text are those of its pieces
+between them. Pieces are found and looked up by whole arrays of bytes; up to 15 bytes a piece is its own exact
+128-bit key. Each distinct piece is given to the tokenizers library once, while it is in a bounded memory. Texts that
+hold an added token of the tokenizer, and all texts of other kinds of tokenizers, get to the library whole.
 
 Edge cases: null text is empty and gets only the end id; null ids come first; rows with one id are ordered by
-a hash of their text; an empty table gives an empty result. Texts of any length are encoded whole.
+a hash of their text; an empty table gives an empty result. Texts of any length are encoded whole. Other columns of
+the table are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reviewlake.llm import _hashing as H
 from reviewlake.llm._shared import stored
 
-#: Pieces remembered by a Python worker; beyond that the rarest go.
-REMEMBER = 700_000
+#: Pieces remembered by a Python worker; beyond that those met once go.
+REMEMBER = 1_000_000
 END = 2
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 4 << 20
+#: Pieces of more bytes are looked up one by one.
+SHORT = 15
 SCHEMA = "part int, row long, doc_id long, ids array<int>"
 ORC = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "2000", "compression": "zstd"}
-_BREAK = re.compile(r" (?=\S)")
-#: White space that is no single space or newline between others.
-_ODD = ("  ", "\n\n", " \n", "\n ", *(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"))
+
+#: Bytes after which, or before which, a break is certain. Lead bytes that white space has too are in none.
+_ALNUM, _MARK, _SOLID = (np.zeros(256, bool) for _ in range(3))
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_MARK[list(b".,;:!?)]}\"")] = True
+_SOLID[0x21:0x7F] = True
+_OPEN = _SOLID.copy()
+_OPEN[0x80:] = True
+_OPEN[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+_U64 = np.uint64
+
+
+def breaks(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Starts of the pieces of texts that lie between edges in data."""
+    first = np.zeros(len(data) + 1, bool)
+    first[edges[:-1]] = True
+    if len(data) > 2:
+        before, here, after = data[:-2], data[1:-1], data[2:]
+        line = (here == 10) & _SOLID[before] & _SOLID[after]
+        first[1:-2] |= ((here == 32) & _OPEN[after]) | (_MARK[here] & _ALNUM[before]) | line
+        first[2:-1] |= line
+    return np.flatnonzero(first[: len(data)])
 
 
 class Encoder:
@@ -46,31 +71,37 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         pre = told.get("pre_tokenizer") or {}
         self.pieces = told.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.added = [t["content"] for t in told.get("added_tokens") or ()]
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}  # a piece after its space; "\0" leads those that no space leads
-        self.starts, self.lengths, self.hits = (np.zeros(1 << 12, np.int64) for _ in range(3))
-        self.flat, self.used = np.zeros(1 << 14, np.int32), 0
-
-    def extend(self, pieces: list[str], lengths: np.ndarray, ids: np.ndarray) -> None:
-        """Remembers pieces with their ids, which stand one after another."""
-        at, n, end = len(self.known), len(pieces), self.used + len(ids)
+        """An empty memory: a table with open places for short pieces, a dictionary for the others."""
+        places = 1 << (2 * REMEMBER).bit_length()
+        self.low, self.high, self.number = np.zeros(places, _U64), np.zeros(places, _U64), np.full(places, -1, np.int32)
+        self.known: dict[bytes, int] = {}
+        self.count, self.used = 0, 0
+        self.starts, self.lengths, self.again = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, bool)
+        self.flat = np.zeros(1 << 14, np.int32)
+
+    def remember(self, lengths: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces, whose ids stand one after another."""
+        n, end = len(lengths), self.used + len(ids)
         if end > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), end), np.int32)])
-        if at + n > len(self.starts):
-            self.starts, self.lengths, self.hits = (np.concatenate([x, np.zeros(max(len(x), at + n), np.int64)]) for x in (self.starts, self.lengths, self.hits))
+        if self.count + n > len(self.starts):
+            more = max(len(self.starts), n)
+            self.starts, self.lengths, self.again = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.lengths, self.again))
         self.flat[self.used : end] = ids
-        self.starts[at : at + n] = self.used + np.cumsum(lengths) - lengths
-        self.lengths[at : at + n] = lengths
-        self.hits[at : at + n] = 0
-        self.known.update(zip(pieces, range(at, at + n), strict=True))
-        self.used = end
+        here = slice(self.count, self.count + n)
+        self.starts[here], self.lengths[here], self.again[here] = self.used + np.cumsum(lengths) - lengths, lengths, False
+        self.count, self.used = self.count + n, end
+        return np.arange(here.start, here.stop)
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of remembered pieces one after another, and their numbers."""
@@ -78,72 +109,122 @@ class Encoder:
         ends = np.cumsum(lengths)
         return self.flat[np.repeat(self.starts[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)], lengths
 
+    def place(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (H.mix(low ^ H.mix(high)) & _U64(len(self.number) - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Numbers of short pieces by their keys, -1 for those not remembered."""
+        out, at, live = np.full(len(low), -1, np.int64), self.place(low, high), np.arange(len(low))
+        while len(live):
+            here = at[live]
+            number = self.number[here]
+            same = (number >= 0) & (self.low[here] == low[live]) & (self.high[here] == high[live])
+            out[live[same]] = number[same]
+            live = live[(number >= 0) & ~same]
+            at[live] = (at[live] + 1) & (len(self.number) - 1)
+        return out
+
+    def put(self, low: np.ndarray, high: np.ndarray, number: np.ndarray) -> None:
+        """Enters distinct keys that are not in the table."""
+        at, live = self.place(low, high), np.arange(len(low))
+        while len(live):
+            free = live[self.number[at[live]] < 0]
+            self.number[at[free]] = number[free]
+            won = free[self.number[at[free]] == number[free]]
+            self.low[at[won]], self.high[at[won]] = low[won], high[won]
+            live = live[self.number[at[live]] != number[live]]
+            at[live] = (at[live] + 1) & (len(self.number) - 1)
+
+    def learn(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of pieces that the library encodes now. Those without white space inside go as the lines of one text."""
+        ids, lengths = [], np.zeros(len(pieces), np.int64)
+        texts = [p.decode() for p in pieces]
+        plain = [k for k, t in enumerate(texts) if (u := t[1:] if t[0] == " " else t).split() == [u]] if self.line is not None else []
+        for k in range(0, len(plain), 4096):
+            some = plain[k : k + 4096]
+            done = np.array(self.tokenizer.encode("\n".join([texts[j] for j in some]), add_special_tokens=False).ids, np.int32)
+            ends = np.append(np.flatnonzero(done == self.line), len(done))
+            lengths[some] = np.diff(ends, prepend=-1) - 1
+            ids.append(done[done != self.line])
+        other = [k for k, n in enumerate(lengths) if not n]
+        for k in range(0, len(other), 4096):
+            rows, sizes = self.whole([texts[j] for j in other[k : k + 4096]])
+            lengths[other[k : k + 4096]] = sizes
+            ids.append(rows)
+        order = np.array(plain + other, np.int64)
+        numbers = np.empty(len(pieces), np.int64)
+        numbers[order] = self.remember(lengths[order], np.concatenate(ids) if ids else np.zeros(0, np.int32))
+        return numbers
+
     def trim(self) -> None:
-        """Keeps the pieces that were met most, half as many as may be remembered at most."""
-        n, least = len(self.known), 2
-        while np.count_nonzero(self.hits[:n] >= least) > REMEMBER // 2:
-            least *= 2
-        keep = [(piece, at) for piece, at in self.known.items() if self.hits[at] >= least]
-        ids, lengths = self.gather(np.array([at for _, at in keep], np.int64))
+        """Keeps the pieces that were met again, if they are less than half of what may be remembered."""
+        keep, held = np.flatnonzero(self.number >= 0), self.known
+        keep = keep[self.again[self.number[keep]]]
+        ids, lengths = self.gather(self.number[keep].astype(np.int64))
+        low, high = self.low[keep], self.high[keep]
+        long = [(p, k) for p, k in held.items() if self.again[k]]
+        more, sizes = self.gather(np.array([k for _, k in long], np.int64))
         self.forget()
-        self.extend([piece for piece, _ in keep], lengths, ids)
-
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes pieces and remembers them. A word and the marks behind it are separate for the pre-tokeniser too."""
-        whole, cut, known = [], [], self.known
-        for piece in pieces:
-            word = piece.rstrip(".,;:!?")
-            if len(word) < len(piece) and word and word[-1].isalnum():
-                cut.append((piece, word, "\0" + piece[len(word) :]))
-            else:
-                whole.append(piece)
-        new = [p for p in dict.fromkeys([*whole, *(x for _, *both in cut for x in both)]) if p not in known]
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            done = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] if p[0] == "\0" else " " + p for p in [x or "\0 " for x in part]], add_special_tokens=False)]
-            lengths = np.fromiter(map(len, done), np.int64, len(done))
-            self.extend(part, lengths, np.fromiter(chain.from_iterable(done), np.int32, int(lengths.sum())))
-        cut = [c for c in cut if c[0] not in known]
-        if cut:
-            ids, lengths = self.gather(np.array([known[x] for _, word, marks in cut for x in (word, marks)], np.int64))
-            self.extend([piece for piece, _, _ in cut], lengths.reshape(-1, 2).sum(axis=1), ids)
-
-    @staticmethod
-    def split(text: str) -> list[str]:
-        """Pieces that the pre-tokeniser keeps apart, and the end. A single newline between non-spaces is one."""
-        pieces: list[str] = []
-        if any(odd in text for odd in _ODD) or text[:1].isspace() or text[-1:].isspace():
-            pieces = _BREAK.split(text)
-            pieces[0] = "\0" + pieces[0]
-        else:
-            for line in text.split("\n"):
-                if pieces:
-                    pieces.append("\0\n")
-                words = line.split(" ")
-                words[0] = "\0" + words[0]
-                pieces += words
-        pieces.append("\0\0end")
-        return pieces
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(keep) + len(long) <= REMEMBER // 2:
+            self.put(low, high, self.remember(lengths, ids))
+            self.known.update(zip([p for p, _ in long], self.remember(sizes, more).tolist(), strict=True))
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces between starts and ends; new ones are learnt."""
+        size, wide, raw = ends - starts, H.lanes(np.concatenate([data, np.zeros(8, np.uint8)])), None
+        at = np.empty(len(starts), np.int64)
+        short, long = np.flatnonzero(size <= SHORT), np.flatnonzero(size > SHORT)
+        s, n = starts[short], size[short]
+        low = wide[s] & H.MASKS[np.minimum(n, 8)]
+        high = (wide[s + 8 * (n > 8)] & H.MASKS[np.maximum(n - 8, 0)]) | (n.astype(_U64) << _U64(56))
+        found = self.find(low, high)
+        new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
+        if len(new) or len(long):
+            raw = data.tobytes()
+        if len(new):
+            order = new[np.lexsort((high[new], low[new]))]
+            first = np.ones(len(order), bool)
+            first[1:] = (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1])
+            heads = order[first]
+            number = self.learn([raw[a : a + m] for a, m in zip(s[heads].tolist(), n[heads].tolist(), strict=True)])
+            self.put(low[heads], high[heads], number)
+            found[order] = number[np.cumsum(first) - 1]
+        at[short] = found
+        if len(long):
+            pieces = [raw[a:z] for a, z in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+            fresh = [p for p in dict.fromkeys(pieces) if p not in self.known]
+            self.known.update(zip(fresh, self.learn(fresh).tolist(), strict=True))
+            at[long] = [self.known[p] for p in pieces]
+            self.again[at[long]] = True
+        return at
+
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        rows = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(rows), np.int32), np.array([len(r) for r in rows], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text; the end id is with them."""
-        if not self.pieces:
-            rows = [e.ids + [END] for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-            return np.fromiter(chain.from_iterable(rows), np.int32), np.array([len(r) for r in rows], np.int64)
-        split = [self.split(text) for text in texts]
-        flat = list(chain.from_iterable(split))
-        if len(self.known) > REMEMBER:
+        texts = texts.fill_null("")
+        odd = np.full(len(texts), not self.pieces)
+        for token in self.added:
+            odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        data, edges = H.buffers(texts)
+        data, edges = data[edges[0] : edges[-1]], edges - edges[0]
+        if self.count > REMEMBER:
             self.trim()
-        if "\0\0end" not in self.known:
-            self.extend(["\0\0end"], np.array([1]), np.array([END]))
-        at = np.fromiter(map(self.known.get, flat, repeat(-1)), np.int64, len(flat))
-        if (missing := np.flatnonzero(at < 0)).size:
-            self.learn(list(dict.fromkeys(flat[k] for k in missing)))
-            at[missing] = [self.known[flat[k]] for k in missing]
-        self.hits[: len(self.known)] += np.bincount(at, minlength=len(self.known))
-        ids, lengths = self.gather(at)
-        last = np.cumsum([len(p) for p in split]) - 1
-        return ids, np.diff(np.cumsum(lengths)[last], prepend=0)
+        starts = breaks(data, edges) if len(data) and not odd.all() else np.zeros(0, np.int64)
+        row = np.searchsorted(edges, starts, "right") - 1
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        use = ~odd[row]
+        ids, lengths = self.gather(self.numbers(data, starts[use], ends[use]))
+        counts = np.bincount(row[use], lengths, len(texts)).astype(np.int64)
+        if odd.any():
+            more, sizes = self.whole(texts.filter(pa.array(odd)).to_pylist())
+            at = np.repeat((np.cumsum(counts) - counts)[odd], sizes)
+            counts[odd] = sizes
+            ids = np.insert(ids, at, more)
+        return np.insert(ids, np.cumsum(counts), END), counts + 1
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -163,16 +244,14 @@ def _encode(path: str):
         part, row, own = TaskContext.get().partitionId(), 0, encoder(path)
         for batch in batches:
             texts, at = batch.column("text"), 0
+            _, edges = H.buffers(texts)
             while at < len(texts):
-                chunk, size, first = [], 0, at
-                while at < len(texts) and (not chunk or size < CHUNK_BYTES):
-                    chunk.append(texts[at].as_py() or "")
-                    size += len(chunk[-1])
-                    at += 1
-                ids, counts = own.encode(chunk)
+                end = max(at + 1, int(np.searchsorted(edges, edges[at] + CHUNK_BYTES, "right")) - 1)
+                ids, counts = own.encode(texts.slice(at, end - at))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(chunk), part, np.int32)), pa.array(np.arange(row, row + len(chunk))), batch.column("doc_id").slice(first, len(chunk)), lists], ["part", "row", "doc_id", "ids"])
-                row += len(chunk)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(end - at, part, np.int32)), pa.array(np.arange(row, row + end - at)), batch.column("doc_id").slice(at, end - at), lists], ["part", "row", "doc_id", "ids"])
+                row += end - at
+                at = end
 
     return run
 

@@ -2,16 +2,18 @@
 
 Base rules look at one text: too few words, or too many words in repeated 3-word windows. Line frequency
 looks across a host (here the source): lines are normalised (lower case, white space as one space) and
-hashed, and for each host and line the distinct documents are counted. Exact copies of one text count
-as one document, since copies are the near-duplicate stage's business. A line found in more documents than
-the host's limit is boilerplate and is removed; a document with too little left is depleted and rejected. One call,
-rules(), gives the verdict and the text without those lines; the query and the pipeline's stage both use it.
+hashed, and for each host and line the distinct documents are counted. A line found in more documents than
+the limit is boilerplate and is removed, but from the first document (by id) of the host that has it, so that of a text in
+many copies the first stays whole. A document with too little left is depleted and rejected. verdicts() decides
+once: the query shows its figures, and the pipeline's stage takes the same lines out of the texts.
 
-Skew: the distinct step is dealt by host, text and line, so a hot host or line is spread; the count that
-follows is pre-aggregated by task. Only texts that have lines above a limit go through Python a second time.
+Skew: the count by host and line is pre-aggregated by task; lines above the limit are looked up by broadcast of a counted
+table or by a salted join. Texts are shuffled only where the marks of rows to change are too many to send; only
+texts that have lines to remove go through Python a second time.
 
 Edge cases: null or empty text has no words, fails the base rules and is not kept; a null source is a host of
-its own; repeated rows get equal results; an empty table gives an empty result; texts may be of any length.
+its own; rows of one id, host and text are one document and get equal results, other rows of one id are others; null
+ids come last; an empty table gives an empty result; texts may be of any length; columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -20,17 +22,18 @@ from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from reviewlake.llm._shared import stored
+from reviewlake.llm._shared import MOST_BROADCAST, NULL_ID, looked_up, stored
 
 MIN_WORDS = 50
 MAX_REPEAT = 50
 WINDOW = 3
-#: A line is boilerplate in more distinct texts of a host than this, whatever the size of the host.
+#: A line is boilerplate in more documents of a host than this, whatever the size of the host.
 LINE_DOCS = 20
 #: A document is depleted if less than this share of its words is left.
 LEFT_SHARE = 0.25
@@ -38,6 +41,9 @@ SPACES = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 LINES = "lines array<struct<line:bigint,words:bigint>>"
+KEY = ["doc", "tie"]
+#: The most marked rows, and lines to remove in them, that are sent to all tasks.
+MOST_LINES = 2_000_000
 
 
 def repeated(words: list[bytes], window: int = WINDOW) -> int:
@@ -81,13 +87,14 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, list[tuple[int,
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("line", pa.int64()), ("words", pa.int64())]))
-    names = ["host", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
+    names = ["doc_id", "doc", "tie", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"]
     for batch in batches:
         found = [measure(t.as_py()) for t in batch.column("text")]
-        columns = [batch.column(n) for n in names[:2]]
+        columns = [batch.column(n) for n in names[:4]]
         columns += [pa.array([f[k] for f in found], pa.int64()) for k in range(5)]
-        columns.append(pa.array([[{"line": h, "words": n} for h, n in f[5]] for f in found], kind))
+        edges = np.cumsum([0, *(len(f[5]) for f in found)])
+        flat = [pa.array([x[k] for f in found for x in f[5]], pa.int64()) for k in (0, 1)]
+        columns.append(pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.StructArray.from_arrays(flat, ["line", "words"])))
         yield pa.RecordBatch.from_arrays(columns, names)
 
 
@@ -106,37 +113,40 @@ def _without(text: pa.Array, gone: pa.Array) -> pa.Array:
     return pa.array([None if t.as_py() is None else without(t.as_py(), set(g.as_py())) for t, g in zip(text, gone, strict=True)], pa.string())
 
 
-def rules(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
-    """doc, the base figures, removed_words, base_failed and kept for each row of docs.
+def _told(host: str) -> list[Column]:
+    """doc, tie and host: what a document is told by. The tie is a hash of host and text."""
+    own = host_of(F.col(host).cast("string"))
+    return [F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64(own, "text").alias("tie"), own.alias("host")]
 
-    doc is the whole row as a struct, so that no name of docs meets one of ours, its text without boilerplate lines.
-    """
-    own = docs.select(F.struct(F.col("*")).alias("doc"), host_of(F.col(host).cast("string")).alias("host"), F.xxhash64("text").alias("text_hash"))
-    base = own.select("host", "text_hash", F.col("doc.text").alias("text"))
-    stats = stored(base.mapInArrow(_measure, f"host string, text_hash long, {STATS}, {LINES}"), "quality").dropDuplicates(["host", "text_hash"])
-    texts = stats.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line", "l.words")
-    frequent = texts.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > line_docs).select("host", "line")
-    removed = texts.join(frequent, ["host", "line"]).groupBy("host", "text_hash").agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("gone"))
+
+def verdicts(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
+    """doc_id, doc, tie, the base figures, removed_words, gone (hashes of the lines to remove), base_failed and kept for each row."""
+    own = docs.select("doc_id", "text", *_told(host))
+    stats = stored(own.mapInArrow(_measure, f"doc_id long, doc long, tie long, host string, {STATS}, {LINES}"), "quality")
+    told = stats if stats.groupBy(*KEY).count().filter("count > 1").isEmpty() else stats.dropDuplicates(KEY)
+    lines = told.select(*KEY, "host", F.explode("lines").alias("l")).select(*KEY, F.xxhash64("host", "l.line").alias("key"), "l.line", "l.words")
+    seen = lines.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct(*KEY)).alias("first"))
+    frequent = stored(seen.filter(F.col("docs") > line_docs).select("key", "first"), "quality-lines")
+    mine = looked_up(lines, frequent, "key", F.col("tie")).filter(F.col("first").isNotNull() & (F.col("first") != F.struct(*KEY)))
+    removed = mine.groupBy(*KEY).agg(F.sum("words").alias("removed_words"), F.collect_list("line").alias("gone"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
     left = F.col("n_words") - F.col("removed_words")
-    verdicts = (
-        stats.drop("lines").join(removed, ["host", "text_hash"], "left").fillna(0, ["removed_words"])
-        .withColumn("base_failed", failed)
-        .withColumn("kept", ~failed & (left > 0) & (left >= left_share * F.col("n_words")))
-    )
-    cut = F.when(F.col("gone").isNotNull(), F.col("doc.text"))
-    return (
-        own.join(verdicts, ["host", "text_hash"]).withColumn("cut", _without(cut, "gone"))
-        .withColumn("doc", F.col("doc").withField("text", F.when(F.col("gone").isNull(), F.col("doc.text")).otherwise(F.col("cut")))).drop("host", "text_hash", "gone", "cut")
-    )
+    found = stats.drop("lines", "host").join(removed, KEY, "left").fillna(0, ["removed_words"]).withColumn("base_failed", failed)
+    return found.withColumn("kept", ~failed & (left > 0) & (left >= left_share * F.col("n_words")))
 
 
 def judge(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
-    """doc_id, the figures of rules() and kept_sha256, of the text without its boilerplate lines, for each row of docs."""
-    found = rules(docs.select("doc_id", F.col(host).alias("source"), "text"), "source", line_docs, left_share)
-    return found.select("doc.doc_id", *found.columns[1:], F.sha2(F.coalesce("doc.text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    """doc_id, the base figures, removed_words, base_failed and kept for each row of docs."""
+    return verdicts(docs, host, line_docs, left_share).drop(*KEY, "gone")
 
 
-def keep(docs: DataFrame, host: str = "source") -> DataFrame:
+def keep(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left_share: float = LEFT_SHARE) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns, the text without its boilerplate lines."""
-    return rules(docs, host).filter("kept").select("doc.*")
+    marks = verdicts(docs, host, line_docs, left_share).filter("NOT kept OR gone IS NOT NULL").select(*KEY, "kept", "gone")
+    marks = stored(marks.dropDuplicates(KEY).select(F.col("doc").alias("_doc"), F.col("tie").alias("_tie"), "kept", "gone"), "quality-marks")
+    rows, lines = marks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("gone"), F.lit(0))), F.lit(0))).first()
+    few = rows <= MOST_BROADCAST and lines <= MOST_LINES
+    own = docs.select(F.struct(F.col("*")).alias("_row"), *(c.alias(f"_{n}") for c, n in zip(_told(host)[:2], KEY, strict=True)))
+    found = own.join(F.broadcast(marks) if few else marks, ["_doc", "_tie"], "left").filter("kept IS NULL OR kept")
+    cut = found.withColumn("_cut", _without(F.when(F.col("gone").isNotNull(), F.col("_row.text")), "gone"))
+    return cut.select(F.col("_row").withField("text", F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.col("_cut"))).alias("_row")).select("_row.*")

@@ -37,14 +37,14 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, long: int = LONG) -> np.ndarray:
     """The hash of the bytes between each start and end, eight at a time, each step a bijection of what came before.
 
-    Up to eight bytes, spans of one length have different hashes.
+    Up to eight bytes, spans of one length have different hashes. Those of more than `long` bytes are hashed one by one.
     """
     wide, left = lanes(data), ends - starts
-    long = np.flatnonzero(left > LONG)
-    at, left = starts.astype(np.int64), np.where(left > LONG, 0, left)
+    single = np.flatnonzero(left > long)
+    at, left = starts.astype(np.int64), np.where(left > long, 0, left)
     with np.errstate(over="ignore"):
         out = mix(left.astype(np.uint64) * np.uint64(_BASE) + _SEED)
         live = np.arange(len(starts))
@@ -54,7 +54,7 @@ def spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
             live = live[n > 8]
             at[live] += 8
             left[live] -= 8
-    for k in long:
+    for k in single:
         out[k] = int.from_bytes(blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
     return out
 

@@ -41,6 +41,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """doc_id, doc (never null), tie, text: rows of one id are told apart by a hash of their text, where ids repeat at all."""
+    ids = F.coalesce("doc_id", F.lit(NULL_ID))
+    repeat = not docs.groupBy(ids.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    return docs.select("doc_id", ids.alias("doc"), (F.xxhash64("text") if repeat else F.lit(0).cast("long")).alias("tie"), "text")
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """df, written once as Parquet in the shared folder and read back.
 

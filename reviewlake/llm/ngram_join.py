@@ -3,24 +3,29 @@
 A document's set is its distinct shingles (64-bit hashes). Documents with equal sets are one class. Two classes
 link when 100 * intersection >= percent * union, which bounds the elements in which they differ.
 
-Sizes fall into intervals such that linked sets lie in the same or in adjacent ones; a group joins two
-adjacent intervals. In a group linked sets differ in at most d elements, and need at least c in common:
-* light groups (small sets): every subset of c elements is enumerated, and linked sets share one;
-* heavy groups (large sets): the elements are dealt by hash to d + 1 + m composite tokens, each standing for
-  several elements; linked sets share at least m + 1 of them, and the inverted lists of tokens are scanned. Empty
-  tokens are left out unless a set has more than m of them, so no link is lost (m is small).
-The boundary is the largest group whose subsets cost no more than its lists, by the numbers of rows they make.
+* Light (small) sets: sizes fall into intervals such that linked sets lie in the same or in adjacent ones; a group joins
+  two adjacent intervals. Linked sets of a group have at least c elements in common, so every subset of c elements is
+  enumerated, and linked sets share one.
+* Heavy (large) sets: inverted lists of elements are scanned. Elements are ordered by rarity, counted over all documents
+  in a table of fixed size (elements that share an entry are counted together, which changes the order, not
+  the result); linked sets share one of their n - ceil(percent * n) + 1 rarest elements, so those are listed.
+The boundary is the largest group whose subsets cost no more than its lists would, by the numbers of sets of each size
+and the mean length of a list, both counted over all documents. A group in between two sizes decides for both.
 
 Lists are scanned without making all pairs of a group. First each list's members are compared with its most
 central one (whose lists are longest), linked ones are joined to components, and only members of different
-components that share a list are compared after that. They are compared by sketches, which bound the difference
-of a pair from below, within a task: a list travels as its members, a large one as blocks, and only pairs
-that the sketches allow become rows, whose sets are then compared. No candidate is capped. Components come
+components that share a list are compared after that: as pairs in lists of up to 8 members, and else within a task,
+by sketches, which bound the difference of a pair from below: a list travels as its members, a large one as blocks, and
+only pairs that the sketches allow become rows, whose sets are then compared. No candidate is capped. Components come
 from label propagation with pointer jumping over tables in the shared folder.
 
+Skew: a task lists each class once, however many copies it holds, so the lists of a hot class have a row a task;
+classes are looked up by broadcast of a counted table or by salted joins.
+
 Edge cases: null or empty text has no shingles, links with nothing and is its own component; fewer words than a
-shingle make one shingle; repeated rows and ids share a class if their sets are equal; the component of rows
-whose ids are all null is null; an empty table gives an empty result; texts may be of any length.
+shingle make one shingle; repeated rows and ids share a class if their sets are equal; rows without an id link others,
+and the component of rows whose ids are all null is null; an empty table gives an empty result; texts may be of any
+length; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, comb, exp, sqrt
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -36,127 +41,191 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm import _hashing as H
-from reviewlake.llm._shared import stored
+from reviewlake.llm._shared import MOST_BROADCAST, NULL_ID, discard, looked_up, squeezed, stored, unsqueezed
 
 WORDS, PERCENT = 5, 80
-#: Rows that one entry of an inverted list costs, against one subset: it is also scanned and verified.
-LIST_COST = 24
 BUCKETS = 256
-#: A list of more members is compared in blocks of about so many.
-BLOCK = 1024
-#: The most classes with candidates whose ids are broadcast (8 bytes each); more are joined by shuffle.
-MOST_BROADCAST = 2_000_000
-
-
-def most_apart(total: int, percent: int) -> int:
-    """The most elements in which linked sets of so many elements together can differ."""
-    return total - 2 * -(-percent * total // (100 + percent))
+#: Entries of the table that counts elements, and slices in which it is summed.
+ENTRIES, SLICES = 1 << 20, 64
+#: Sizes counted for the boundary, and the most subsets of one set.
+SMALL, MOST_SUBSETS = 64, 4096
+#: A list of more members is compared in blocks of about so many; one of so few as its pairs.
+BLOCK, FEW = 1024, 8
+_U64 = np.uint64
 
 
 class Group:
-    """A group of sets whose sizes lie in two adjacent intervals, the larger sizes up to `high`."""
+    """A group of sets whose sizes lie in two adjacent intervals, from `low` to `high`."""
 
     def __init__(self, number: int, low: int, high: int, percent: int):
         self.number, self.low, self.high = number, low, high
-        self.apart = max(most_apart(s, percent) for s in range(max(2, 2 * high - 3), 2 * high + 1))
-        self.common = -(-percent * 2 * low // (100 + percent))
-        self.light = self.apart == 0 or comb(high, self.common) <= LIST_COST * (self.apart + 1)
-        self.spare = 1
-        for _ in range(4):
-            tokens = self.apart + 1 + self.spare
-            empty = tokens * exp(-low / tokens)
-            self.spare = ceil(empty + 5 * sqrt(empty) + 1)
-        self.tokens = self.apart + 1 + self.spare
+        # What two different sets of such sizes share at least if they link; 0 if none can.
+        shared = [(x, y, -(-percent * (x + y) // (100 + percent))) for x in range(low, high + 1) for y in range(x, min(high, x * 100 // percent) + 1)]
+        self.common = min((t for x, y, t in shared if t <= x - (x == y)), default=0)
+
+    def subsets(self, size: int) -> int:
+        return comb(size, self.common) if self.common else 0
 
 
 @lru_cache(maxsize=8)
-def _intervals(percent: int, upto: int) -> tuple[list[int], list[Group]]:
-    """Starts of the size intervals, and groups: a set in interval i is in the groups i and i + 1."""
-    starts, groups, low = [1], [], 1
-    while low <= upto or len(starts) < len(groups) + 2:
-        high = low * 100 // percent
-        groups.append(Group(len(groups), starts[-2] if len(starts) > 1 else 1, high, percent))
-        low = high + 1
+def intervals(percent: int) -> tuple[list[int], list[Group]]:
+    """Starts of the size intervals up to SMALL, and groups: a set in interval i is in the groups i and i + 1."""
+    starts, low = [1], 1
+    while low <= SMALL:
+        low = low * 100 // percent + 1
         starts.append(low)
-        if low > upto and len(groups) > 1:
-            high = low * 100 // percent
-            groups.append(Group(len(groups), starts[-2], high, percent))
+    ends = [low - 1 for low in starts[1:]]
+    return starts, [Group(k, starts[max(k - 1, 0)], end, percent) for k, end in enumerate(ends)]
+
+
+def prefix(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """The elements that a set lists."""
+    return sizes - -(-percent * sizes // 100) + (sizes > 0)
+
+
+def light_groups(percent: int, sizes: np.ndarray, length: float) -> int:
+    """How many groups, from the smallest sets on, are light, from the numbers of sets by size and the mean length of a list."""
+    light = 0
+    for group in intervals(percent)[1]:
+        n = np.arange(group.low, min(group.high, SMALL) + 1)
+        subsets = sum(int(sizes[k]) * group.subsets(int(k)) for k in n)
+        if group.high > SMALL or group.subsets(group.high) > MOST_SUBSETS or subsets > (sizes[n] * prefix(n, percent)).sum() * max(1.0, length):
             break
-    return starts, groups
+        light += 1
+    return light
 
 
-def boundary(percent: int) -> int:
-    """The largest set size that is enumerated by subsets."""
-    return max(g.high for g in _intervals(percent, 1 << 12)[1] if g.light)
+def boundary(percent: int, light: int) -> int:
+    """The largest set size of which only subsets are enumerated."""
+    return intervals(percent)[0][light - 1] - 1 if light else 0
 
 
-def _keys(at: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of all the signatures of the rows' sets, in the order of rows."""
-    rows = len(sizes)
-    starts, groups = _intervals(percent, max(64, 1 << int(sizes.max(initial=1)).bit_length()))
+def _count(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, sizes = np.zeros(ENTRIES, np.int64), np.zeros(SMALL + 2, np.int64)
+        for batch in batches:
+            for first, end, of, hashes in H.words(batch.column("text")):
+                table += np.bincount((H.windows(of, hashes, size)[1] % _U64(ENTRIES)).astype(np.int64), minlength=ENTRIES)
+                counts = np.bincount(of, minlength=end - first)
+                sizes += np.bincount(np.clip(np.where(counts > 0, np.maximum(counts - size + 1, 1), 0), 0, SMALL + 1), minlength=SMALL + 2)
+        parts = [*table.reshape(SLICES, -1), sizes]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES + 1)), pa.array([squeezed(x.tobytes()) for x in parts], pa.binary())], ["slice", "counts"])
+
+    return run
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, total = None, np.zeros(0, np.int64)
+    for batch in batches:
+        for slice_, blob in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            counts = np.frombuffer(unsqueezed(blob), np.int64)
+            if slice_ != held and held is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+            held, total = slice_, counts if slice_ != held else total + counts
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([held], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["slice", "counts"])
+
+
+def frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences by entry of the elements' table, and documents by number of shingles (the last entry: all above SMALL)."""
+    parts = docs.select("text").mapInArrow(_count(size), "slice long, counts binary").repartition(SLICES + 1, "slice").sortWithinPartitions("slice")
+    rows = parts.mapInArrow(_add, "slice long, counts binary").collect()  # SLICES + 1 rows, 8 MB in all
+    table, sizes = np.zeros((SLICES, ENTRIES // SLICES), np.int64), np.zeros(SMALL + 2, np.int64)
+    for row in rows:
+        if row["slice"] < SLICES:
+            table[row["slice"]] = np.frombuffer(row["counts"], np.int64)
+        else:
+            sizes = np.frombuffer(row["counts"], np.int64)
+    return table.reshape(-1), sizes
+
+
+def list_length(table: np.ndarray) -> float:
+    """The mean length of the list that an occurrence is in, without what shared entries add."""
+    total = float(table.sum())
+    return (float((table.astype(float) ** 2).sum()) / total - total / len(table)) if total else 0.0
+
+
+def _keys(at: np.ndarray, found: np.ndarray, sizes: np.ndarray, percent: int, light: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the listed elements and subsets of the rows' sets, in the order of rows."""
+    starts, groups = intervals(percent)
     interval = np.searchsorted(np.array(starts), np.maximum(sizes, 1), "right") - 1
-    spread = H.mix(hashes ^ np.uint64(0xA0761D6478BD642F))
+    heavy = interval + 1 >= light
+    order = np.lexsort((found, table[(found % _U64(ENTRIES)).astype(np.int64)], at))
+    listed = at[order]
+    place = np.arange(len(at)) - (np.cumsum(sizes) - sizes)[listed]
+    use = heavy[listed] & (place < prefix(sizes, percent)[listed])
+    rows, keys = [listed[use]], [found[order][use]]
     firsts = np.concatenate([[0], np.cumsum(sizes)])
-    light, apart, tokens, spare = (np.array([getattr(g, n) for g in groups]) for n in ("light", "apart", "tokens", "spare"))
-    out_rows, out_keys = [], []
-    for step in (0, 1):
-        group = interval + step
-        wide = np.where((sizes > 0) & ~light[group], tokens[group], 0)
-        base = np.concatenate([[0], np.cumsum(wide)])
-        chosen = np.flatnonzero(wide[at] > 0)
-        where = at[chosen]
-        slot = base[where] + ((hashes[chosen] >> np.uint64(32)) * wide[where].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        total, held = np.zeros(base[-1], np.uint64), np.zeros(base[-1], np.int32)
-        np.add.at(total, slot, spread[chosen])
-        np.add.at(held, slot, 1)
-        row = np.repeat(np.arange(rows), wide)
-        index = np.arange(base[-1]) - base[row]
-        empties = np.bincount(row[held == 0], minlength=rows)
-        use = (held > 0) | (empties > spare[group])[row]
-        key = H.mix(total + H.mix(group[row].astype(np.uint64) * np.uint64(4_000_037) + index.astype(np.uint64)))
-        out_rows.append(row[use])
-        out_keys.append(key[use])
-        for r in np.flatnonzero((sizes > 0) & light[group] & (apart[group] > 0)):
-            mine, g = spread[firsts[r] : firsts[r + 1]], groups[group[r]]
-            left = len(mine) - g.common
-            if left >= 0:
-                whole = mine.sum()
-                sums = np.array([whole - sum((mine[list(c)]), np.uint64(0)) for c in combinations(range(len(mine)), left)], np.uint64)
-                out_keys.append(H.mix(sums + H.mix(np.full(1, g.number, np.uint64) + np.uint64(1 << 40))))
-                out_rows.append(np.full(len(sums), r))
-    row, key = np.concatenate(out_rows), np.concatenate(out_keys)
+    spread = H.mix(found ^ _U64(0xA0761D6478BD642F))
+    for row in np.flatnonzero((sizes > 0) & (interval < light)):
+        mine = spread[firsts[row] : firsts[row + 1]]
+        for group in groups[interval[row] : min(interval[row] + 2, light)]:
+            left = len(mine) - group.common
+            if group.common and left >= 0:
+                gone = np.array(list(combinations(range(len(mine)), left)), np.int64).reshape(comb(len(mine), left), left)
+                sums = mine.sum(dtype=np.uint64) - mine[gone].sum(axis=1, dtype=np.uint64)
+                keys.append(H.mix(sums + H.mix(np.full(1, group.number, _U64) + _U64(1 << 40))))
+                rows.append(np.full(len(sums), row))
+    row, key = np.concatenate(rows), np.concatenate(keys)
     order = np.argsort(row, kind="stable")
     return row[order], key[order]
 
 
-def _signatures(size: int, percent: int, with_sets: bool):
+def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """First and end row of a chunk, (row, element) of its sets, their sizes and the signatures of their classes."""
+    for first, end, of, hashes in H.words(batch.column("text")):
+        with np.errstate(over="ignore"):
+            at, found = H.shingles(of, hashes, end - first, size)
+            sizes = np.bincount(at, minlength=end - first)
+            total = np.zeros(end - first, _U64)
+            np.add.at(total, at, H.mix(found))
+            yield first, end, at, found, sizes, H.mix(total + sizes.astype(_U64) * _U64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _lists(size: int, percent: int, light: int, table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for first, end, of, hashes in H.words(batch.column("text")):
-                rows = end - first
+            for first, end, at, found, sizes, sig in _sets(batch, size):
+                fresh = np.zeros(end - first, bool)
+                for k, s in enumerate(sig.tolist()):
+                    fresh[k] = s not in seen
+                    seen.add(s)
+                use = fresh[at]
                 with np.errstate(over="ignore"):
-                    at, found = H.shingles(of, hashes, rows, size)
-                    sizes = np.bincount(at, minlength=rows)
-                    total = np.zeros(rows, np.uint64)
-                    np.add.at(total, at, H.mix(found))
-                    sig = H.mix(total + sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                    if with_sets:
-                        sketch = np.zeros((rows, BUCKETS), np.uint8)
-                        np.add.at(sketch, (at, (found & np.uint64(BUCKETS - 1)).astype(np.int64)), 1)
-                        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found.view(np.int64)))
-                        yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in sketch], pa.binary()), lists], ["sig", "n", "sketch", "elements"])
-                        continue
-                    row, key = _keys(at, found, sizes, percent)
-                edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))])
+                    row, key = _keys(at[use], found[use], np.where(fresh, sizes, 0), percent, light, table)
+                edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))])
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, rows), pa.array(sizes, pa.int64()), pa.array(sig), lists], ["doc_id", "n", "sig", "keys"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in ("doc_id", "tie")), pa.array(sizes, pa.int64()), pa.array(sig), lists], ["doc_id", "tie", "n", "sig", "keys"])
 
     return run
 
 
+def _elements(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, end, at, found, sizes, sig in _sets(batch, size):
+                sketch = np.zeros((end - first, BUCKETS), np.uint8)
+                np.add.at(sketch, (at, (found & _U64(BUCKETS - 1)).astype(np.int64)), 1)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in sketch], pa.binary()), lists], ["sig", "n", "sketch", "elements"])
+
+    return run
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+
+
 def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, sig (of its class; of no meaning where n is 0), keys for each row, stored."""
-    return stored(docs.select("doc_id", "text").mapInArrow(_signatures(size, percent, False), "doc_id long, n long, sig long, keys array<long>"), "ngram-sets")
+    """doc_id, tie, n, sig (of its class; of no meaning where n is 0), keys for each row, stored.
+
+    Keys are with the first row that a task has of a class.
+    """
+    table, sizes = frequencies(docs, size)
+    light = light_groups(percent, sizes, list_length(table))
+    run = _lists(size, percent, light, np.minimum(table, np.iinfo(np.int32).max).astype(np.int32))
+    return stored(keyed(docs).select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, n long, sig long, keys array<long>"), "ngram-sets")
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +263,10 @@ def connected(links: DataFrame) -> DataFrame:
         near = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         over = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = stored(step.join(over, "label").select("node", "old", F.least("label", "next").alias("label")).select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
-    return labels.select("node", "label")
+        last, labels = labels, stored(step.join(over, "label").select("node", "old", F.least("label", "next").alias("label")).select("node", "label", (F.col("label") != F.col("old")).alias("moved")), "labels")
+        discard(last)
+    discard(edges)
+    return labels
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -204,38 +275,51 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 
 def linked(docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """node, label of the classes in `members` that link with another one."""
-    dealt = members.filter("n > 0").select("sig", F.explode("keys").alias("key")).repartition("key").distinct()
+    dealt = members.filter("n > 0").select("sig", "n", F.explode("keys").alias("key")).repartition("key").distinct()
     lists = stored(dealt.withColumn("c", F.count(F.lit(1)).over(_by("key"))).filter("c > 1"), "ngram-lists")
-    wanted = stored(lists.select("sig").distinct().join(members.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id")), "sig"), "ngram-wanted")
-    ids = wanted.select("doc_id").distinct()
+    own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "tie")
+    wanted = stored(lists.select("sig").distinct().join(members.filter("n > 0").groupBy("sig").agg(F.min(own).alias("r")), "sig").select("sig", "r.doc", "r.tie"), "ngram-wanted")
     few = wanted.count() <= MOST_BROADCAST
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id").select("text")
-    found = texts.mapInArrow(_signatures(size, percent, True), "sig long, n long, sketch binary, elements array<long>")
-    sets = stored(found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"]), "ngram-elements")
+    ids = wanted.select("doc", "tie").distinct()
+    texts = keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(F.broadcast(ids) if few else ids, ["doc", "tie"])
+    found = texts.select("text").mapInArrow(_elements(size), "sig long, n long, sketch binary, elements array<long>")
+    twice = not members.join(F.broadcast(ids) if few else ids, [F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), members["tie"] == ids["tie"]]).groupBy("doc", ids["tie"]).count().filter("count > 1").isEmpty()
+    sets = stored(found.dropDuplicates(["sig"]) if twice else found, "ngram-elements")
     # Each list's most central member against the others.
     central = lists.groupBy("sig").agg(F.sum("c").alias("weight"))
     weighed = lists.join(central, "sig")
-    hub = weighed.groupBy("key").agg(F.max(F.struct("weight", F.col("sig"))).alias("h")).select("key", F.col("h.sig").alias("hub"))
-    star = stored(lists.join(hub, "key").filter("sig <> hub").select(*_ordered(F.col("sig"), F.col("hub"))).distinct(), "ngram-star")
+    hub = weighed.groupBy("key").agg(F.max(F.struct("weight", "sig", "n")).alias("h")).select("key", F.col("h.sig").alias("hub"), F.col("h.n").alias("m"))
+    alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
+    star = stored(lists.join(hub, "key").filter("sig <> hub").filter(alike).select(*_ordered(F.col("sig"), F.col("hub"))).distinct(), "ngram-star")
     links = stored(verified(star, sets, percent), "ngram-links")
     labels = connected(links)
-    # Then, of the lists that still hold several components, the members of different ones.
-    open_ = lists.select("key", "sig").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("key", "sig", F.coalesce("label", "sig").alias("label"))
+    # Then, of the lists that still hold several components, the members of different ones. Of two members the pair is done.
+    open_ = lists.filter("c > 2").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("key", "sig", "n", "c", F.coalesce("label", "sig").alias("label"))
     spread = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     open_ = stored(open_.join(spread, "key", "left_semi"), "ngram-open")
-    cross = _crossing(open_, sets, percent)
-    more = verified(cross, sets, percent)
-    return connected(stored(links.unionByName(more), "ngram-all-links"))
+    discard(lists, labels, wanted)
+    cross = _few(open_.filter(F.col("c") <= FEW), percent).unionByName(_crossing(open_.filter(F.col("c") > FEW), sets, percent))
+    more = stored(verified(cross.distinct().join(star, ["a", "b"], "left_anti"), sets, percent), "ngram-more")
+    out = connected(links.unionByName(more))
+    discard(open_, star, sets, links, more)
+    return out
+
+
+def _few(open_: DataFrame, percent: int) -> DataFrame:
+    """a, b: members of one short list and of different components whose sizes allow to link."""
+    held = open_.groupBy("key").agg(F.collect_list(F.struct("sig", "n", "label")).alias("m")).select(F.col("m"), F.explode("m").alias("x"))
+    pairs = held.select("x", F.explode(F.filter("m", lambda y: (y["sig"] > F.col("x.sig")) & (y["label"] != F.col("x.label")) & (100 * F.least(y["n"], F.col("x.n")) >= percent * F.greatest(y["n"], F.col("x.n"))))).alias("y"))
+    return pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
 
 
 def _crossing(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: members of one list and of different components that size and sketch allow to link."""
     blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    held = open_.join(blocks, "key").join(sets.select("sig", "n", "sketch"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    held = open_.drop("n", "c").join(blocks, "key").join(sets.select("sig", "n", "sketch"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = held.select("key", "sig", "label", "n", "sketch", "block", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     dealt = dealt.select("key", "x", "y", "block", "n", "sig", "label", "sketch").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")
-    return dealt.mapInArrow(_compare(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_compare(percent), "a long, b long")
 
 
 def _compare(percent: int):
@@ -286,21 +370,37 @@ def _by(*columns: str):
     return Window.partitionBy(*columns)
 
 
-def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of docs."""
+def grouped(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, n, own (id, whether it is null, text hash) and best (the least own of the component) of each row of docs."""
     members = classes(docs, size, percent)
     labels = linked(docs, members, size, percent)
-    rows = members.select("doc_id", "n", "sig").filter("n > 0").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("doc_id", "n", F.coalesce("label", "sig").alias("label"))
-    rows = stored(rows, "ngram-rows")
-    smallest = rows.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    alone = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return rows.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(alone)
+    own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.col("doc_id").isNull().alias("none"), "tie")
+    least = members.filter("n > 0").groupBy("sig").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("rows"))
+    least = least.join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").filter("rows > 1 OR label IS NOT NULL").select("sig", "first", "label")
+    least = stored(least, "ngram-least")
+    smallest = stored(least.filter("label IS NOT NULL").groupBy("label").agg(F.min("first").alias("top")), "ngram-smallest")
+    tops = stored(looked_up(least, smallest, "label", F.col("sig")).select("sig", F.coalesce("top", "first").alias("top")), "ngram-tops")
+    discard(least, smallest, labels)
+    return looked_up(members.select("doc_id", "n", "sig", own.alias("own")), tops, "sig", F.col("own.tie")).select("doc_id", "n", "own", F.coalesce("top", "own").alias("best"))
+
+
+def components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) for each row of docs."""
+    found = F.when(F.col("n") == 0, F.col("doc_id")).when(~F.col("best.none"), F.col("best.doc"))
+    return grouped(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), found.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without all but the first document of each component, with all their columns.
+    """docs without all but the first document of each component, by id and then a hash of its text, with all their columns.
 
-    Rows that share the kept document's id and are copies of one another stay one row each.
+    Documents without words are all kept. Rows that are the first in id and text both stay one row.
     """
-    go = components(docs, size, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(go, "doc_id", "left_anti").select(*docs.columns)
+    rows = stored(grouped(docs, size, percent).filter("n > 0").select("own", "best"), "ngram-rows")
+    key = ["_doc", "_none", "_tie"]
+    go = rows.filter(F.col("own") != F.col("best")).select("own.*").distinct()
+    twice = rows.filter(F.col("own") == F.col("best")).groupBy("own").count().filter("count > 1").select("own.*")
+    marks = go.withColumn("_go", F.lit(True)).unionByName(twice.withColumn("_go", F.lit(False))).toDF(*key, "_go")
+    own = docs.select(F.struct("*").alias("_row"), F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("doc_id").isNull().alias("_none"), F.xxhash64("text").alias("_tie"))
+    kept = own.join(marks, key, "left").filter("_go IS NULL OR NOT _go")
+    once = kept.filter("_go IS NOT NULL").groupBy(*key).agg(F.first("_row").alias("_row")).select("_row")
+    return kept.filter("_go IS NULL").select("_row").unionByName(once).select("_row.*")

@@ -2,84 +2,58 @@
 
 Every byte covered by a 50-byte string that also starts in a document with a smaller id is removed.
 
-1. Dealing to shards. The minimiser of a window of 50 bytes is its 16-byte string with the least hash, so equal
-   windows have equal minimisers. Consecutive windows with one minimiser form a stretch of at most 84 bytes;
-   each window lies in exactly one. Stretches go to shards by the minimiser's hash, first as fingerprints only.
-2. Stretches whose minimiser is in one document only are dropped: none of their windows can repeat. Equal
-   stretches are a class, and the first document's stands for it.
-3. The bytes of the classes are fetched, and each shard's suffix array is built by induced sorting: suffixes are
+1. Documents are dealt to buckets by a hash; all later steps meet the texts of a bucket, shuffled once.
+   The minimiser of a window of 50 bytes is its 16-byte string with the least hash, so equal windows have equal
+   minimisers. Consecutive windows with one minimiser form a stretch of at most 84 bytes; each window lies in exactly
+   one. Equal stretches of a bucket are a class, told by 104 bits, which stands for all of them with its least document;
+   classes go to shards by the minimiser's hash, as packed columns of fingerprints.
+2. A shard drops minimisers with one document only: none of their windows can repeat. Classes of several buckets are one;
+   the bucket with the least document is asked for the bytes. A minimiser with one class needs no bytes:
+   all its windows belong to the class's least document.
+3. Each shard's suffix array is built from those bytes by induced sorting: suffixes are
    classified as S or L, the leftmost S substrings are sorted by induction and named, the shorter string of
    names is sorted (by doubling the compared length, its recursion), and the array is induced from them. All
    steps are vectorised by bucket. Permuted common prefixes of neighbours, up to 50 bytes, give the runs
    of equal windows, and a run's least document decides for all its windows.
-4. Verdicts go back to all members of the classes and are marked in their documents.
+4. Verdicts go back to the buckets: for each class, the windows that an earlier document than its own least one has.
+   A bucket finds its classes again, in the same order, and marks its documents.
 
-Shards are dealt as packed columns, so the fingerprints cost few bytes. A shard works on pieces of about
-1 MB; a minimiser's stretches stay together, and equal ones take a record and no bytes.
+What is dealt has a row for each bucket and shard at most, however many documents or copies there are, and a hot passage
+takes a fingerprint a bucket. A shard works on pieces of about 1 MB; a minimiser's classes stay together.
 
 Edge cases: null text is empty; texts under 50 bytes lose nothing; a null doc_id is larger than any; rows with
-one doc_id don't act on each other; repeated rows get equal results; an empty table gives an empty result.
+one doc_id don't act on each other; repeated rows get equal results; an empty table gives an empty result; texts may be
+of any length; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reviewlake.llm import _hashing as H
-from reviewlake.llm._shared import NULL_ID
+from reviewlake.llm._packing import gathered, pack, unpack
+from reviewlake.llm._shared import NULL_ID, squeezed, told_apart, unsqueezed
 
 LENGTH = 50
 KMER = 16
 SEPARATOR = 0xFF  # no byte of UTF-8
-SHARDS_PER_PARTITION = 4
 PIECE = 1 << 20
 SEGMENT = 1 << 20
-#: name, type and stored bytes of the packed columns; doc is stored as differences
-FIELDS = (("h", np.uint64, 6), ("c", np.uint64, 5), ("doc", np.int64, 8), ("tie", np.int64, 4), ("at", np.int64, 5), ("span", np.int64, 1))
-#: A shared stretch: class in its shard, document, place, windows less one; first: 1 begins a class, 2 a minimiser too.
-RECORD = np.dtype([("cls", "<u4"), ("shard", "<u4"), ("doc", "<i8"), ("tie", "<u4"), ("at", "<u4"), ("span", "u1"), ("first", "u1")])
-HIT = np.dtype([("at", "<u4"), ("bits", "<i8")])
+HASH_BITS = 40
 _U64 = np.uint64
-
-
-def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data)
-
-
-def pack(columns: dict[str, np.ndarray]) -> bytes:
-    n = len(columns["h"])
-    columns = columns | {"doc": np.diff(columns["doc"], prepend=0)}
-    return squeezed(b"".join(np.ascontiguousarray(columns[name].astype(kind, copy=False)).view(np.uint8).reshape(n, 8)[:, :size].T.tobytes() for name, kind, size in FIELDS))
-
-
-def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    blob = zstandard.ZstdDecompressor().decompress(blob)
-    n, out, at = len(blob) // sum(f[2] for f in FIELDS), {}, 0
-    data = np.frombuffer(blob, np.uint8)
-    for name, kind, size in FIELDS:
-        wide = np.zeros((n, 8), np.uint8)
-        wide[:, :size] = data[at : at + n * size].reshape(size, n).T
-        out[name], at = wide.view(kind).reshape(n), at + n * size
-    return out | {"doc": np.cumsum(out["doc"])}
-
-
-def sliced(records: np.ndarray, cuts: np.ndarray) -> pa.Array:
-    """Binary values of the records between cuts, over one buffer."""
-    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * records.itemsize).astype(np.int64)), pa.py_buffer(records.tobytes())]).cast(pa.binary())
-
-
-def records_of(blobs: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
-    """All records of binary values, and the number of records of each value."""
-    data, edges = H.buffers(blobs)
-    return np.frombuffer(data[edges[0] : edges[-1]].tobytes(), kind), np.diff(edges) // kind.itemsize
+#: A class of a bucket: minimiser, content, least document and where it is first there, windows less one.
+PRINTS = (("h", np.int64, 5, True), ("c", np.uint64, 8, False), ("doc", np.int64, 8, False), ("tie", np.int64, 8, False), ("at", np.int64, 5, False), ("span", np.int64, 1, False))
+#: A class that is decided: its number among those of its bucket in the shard, the windows to remove as bits.
+DECIDED = (("number", np.int64, 4, True), ("bits", np.int64, 5, False))
+#: An open class: its number in the bucket and in the shard, its least document and place; whose bytes are wanted (1, 2: and it begins a minimiser).
+OPEN = (("number", np.int64, 4, True), ("cls", np.int64, 4, False), ("doc", np.int64, 8, False), ("tie", np.int64, 8, False), ("at", np.int64, 5, False), ("span", np.int64, 1, False), ("first", np.int64, 1, False))
+ROWS = "bucket long, shard long, decided binary, open binary, bytes binary"
 
 
 def stretches(data: np.ndarray, edges: np.ndarray, length: int = LENGTH, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -88,10 +62,8 @@ def stretches(data: np.ndarray, edges: np.ndarray, length: int = LENGTH, k: int
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none.astype(_U64), none.astype(_U64)
-    up, down = H.powers(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, _U64), np.cumsum(H._VALUES[data] * up[:n])])
-        kmers = H.mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    wide = H.lanes(data)
+    kmers = H.mix(wide[: n - k + 1] ^ H.mix(wide[k - 8 : n - 7]))
     bits = _U64(max(1, int(n).bit_length()))
     least = (kmers >> bits << bits) | np.arange(len(kmers), dtype=_U64)
     width, have = length - k + 1, 1
@@ -111,114 +83,134 @@ def stretches(data: np.ndarray, edges: np.ndarray, length: int = LENGTH, k: int
     last = valid.copy()
     last[:-1] &= ~(valid[1:] & (at[1:] == at[:-1]))
     a, z = np.flatnonzero(first), np.flatnonzero(last)
-    with np.errstate(over="ignore"):
-        content = H.mix((sums[z + length] - sums[a]) * down[a] + (z - a).astype(_U64))
-    return a, z, kmers[at[a]], content
+    return a, z, kmers[at[a]], H.spans(data, a, z + length, long=length + width)
+
+
+def bucket_stretches(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window in its text, windows less one, minimiser, content) of all stretches of the texts between edges."""
+    out: list[tuple] = []
+    row, rows = 0, len(edges) - 1
+    while row < rows:
+        end = max(row + 1, int(np.searchsorted(edges, edges[row] + PIECE, "right")) - 1)
+        start, stop = int(edges[row]), int(edges[end])
+        while start < stop:
+            # A text longer than a segment is cut; a cut stretch is two with one minimiser.
+            cut = min(stop, start + SEGMENT + LENGTH - 1) if end == row + 1 and stop - start > 2 * SEGMENT else stop
+            a, z, h, c = stretches(data[start:cut], np.clip(edges[row : end + 1], start, cut) - start)
+            of = np.searchsorted(edges[row : end + 1], a + start, "right") - 1 + row
+            out.append((of.astype(np.int32), (a + start - edges[of]).astype(np.int64), (z - a).astype(np.int8), (h & _U64((1 << HASH_BITS) - 1)).astype(np.int64), c))
+            start = cut if cut == stop else cut - LENGTH + 1
+        row = end
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else tuple(np.zeros(0, t) for t in (np.int32, np.int64, np.int8, np.int64, _U64))
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row begins a group, of rows sorted by columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = columns[0][1:] != columns[0][:-1]
+    for c in columns[1:]:
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+class Classes:
+    """The classes of a bucket: its stretches by shard, minimiser, content, document and place, and the first of each class."""
+
+    def __init__(self, texts: pa.ChunkedArray, docs: np.ndarray, ties: np.ndarray, shards: int):
+        self.data, self.edges = H.buffers(texts.cast(pa.large_binary()).combine_chunks())
+        self.row, self.at, self.span, self.h, c = bucket_stretches(self.data, self.edges)
+        shard = self.h % shards
+        rank = np.empty(len(docs), np.int32)
+        rank[np.lexsort((ties, docs))] = np.arange(len(docs))
+        key = (shard << HASH_BITS) | self.h
+        order = np.argsort(key)
+        same = ~_starts(key[order])
+        same[:-1] |= same[1:]
+        some = order[same]  # only equal minimisers are to be ordered further
+        order[same] = some[np.lexsort((self.at[some], rank[self.row[some]], c[some], key[some]))]
+        self.row, self.at, self.span, self.h, self.c, shard = (x[order] for x in (self.row, self.at, self.span, self.h, c, shard))
+        new = np.ones(len(order), bool)
+        new[1:] = (self.h[1:] != self.h[:-1]) | (self.c[1:] != self.c[:-1])
+        self.firsts = np.flatnonzero(new)
+        self.of = np.cumsum(new) - 1
+        heads = shard[self.firsts]
+        cuts = np.flatnonzero(np.diff(heads)) + 1
+        self.cuts = np.concatenate([[0], cuts, [len(heads)]]) if len(heads) else np.zeros(1, np.int64)
+        self.shards = heads[self.cuts[:-1]]
+
+
+def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return table.column("doc").to_numpy(), table.column("tie").to_numpy()
 
 
 def _deal(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, edges = H.buffers(batch.column("text"))
-            ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy()
-            ties = batch.column("tie").to_numpy()
-            row = 0
-            while row < len(ids):
-                end = max(row + 1, int(np.searchsorted(edges, edges[row] + PIECE, "right")) - 1)
-                start, stop = int(edges[row]), int(edges[end])
-                while start < stop:
-                    # A text longer than a segment is cut; a cut stretch is two with one minimiser.
-                    cut = min(stop, start + SEGMENT + LENGTH - 1) if end == row + 1 and stop - start > 2 * SEGMENT else stop
-                    inner = np.clip(edges[row : end + 1], start, cut) - start
-                    a, z, h, c = stretches(data[start:cut], inner)
-                    if len(a):
-                        of = np.searchsorted(edges[row : end + 1], a + start, "right") - 1 + row
-                        h = h & _U64((1 << 48) - 1)
-                        part = (h % _U64(shards)).astype(np.int64)
-                        order = np.argsort(part, kind="stable")
-                        found = {"h": h, "c": c & _U64((1 << 40) - 1), "doc": ids[of], "tie": ties[of], "at": a + start - edges[of], "span": z - a}
-                        found = {name: x[order] for name, x in found.items()}
-                        part = part[order]
-                        cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
-                        blobs = [pack({name: x[i:j] for name, x in found.items()}) for i, j in zip(cuts, cuts[1:], strict=False)]
-                        yield pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]]), pa.array(blobs, pa.binary())], ["shard", "rows"])
-                    start = cut if cut == stop else cut - LENGTH + 1
-                row = end
+    def run(table: pa.Table) -> pa.Table:
+        docs, ties = _told(table)
+        own = Classes(table.column("text"), docs, ties, shards)
+        f = own.firsts
+        columns = {"h": own.h[f], "c": own.c[f], "doc": docs[own.row[f]], "tie": ties[own.row[f]], "at": own.at[f], "span": own.span[f].astype(np.int64)}
+        blobs = [pack({n: x[i:j] for n, x in columns.items()}, PRINTS) for i, j in zip(own.cuts, own.cuts[1:], strict=False)]
+        bucket = table.column("bucket")[0].as_py() if len(table) else 0
+        return pa.table([pa.array(own.shards.astype(np.int64)), pa.array(np.full(len(blobs), bucket, np.int64)), pa.array(blobs, pa.binary())], ["shard", "bucket", "prints"])
 
     return run
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple[int, list[tuple]]]:
-    """The rows of each shard, from batches sorted by shard."""
-    rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in ("shard", *names)), strict=True))
-    for shard, group in groupby(rows, key=lambda r: r[0]):
-        yield shard, [r[1:] for r in group]
-
-
-def _joined(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-    return {name: np.concatenate([p[name] for p in parts]) for name, _, _ in FIELDS}
-
-
-def _by_doc(doc: np.ndarray, tie: np.ndarray, records: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.lexsort((tie, doc))
-    doc, tie, records = doc[order], tie[order], records[order]
-    cuts = np.concatenate([[0], np.flatnonzero((np.diff(doc) != 0) | (np.diff(tie) != 0)) + 1, [len(order)]])
-    for k in range(0, len(cuts) - 1, 50_000):
-        some = cuts[k : k + 50_001]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[some[:-1]]), pa.array(tie[some[:-1]].astype(np.int64)), sliced(records[some[0] : some[-1]], some - some[0])], ["doc", "tie", "rows"])
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of the stretches whose minimiser is in two documents or more, by document.
-
-    Those of the task's few shards are put together, so that a document takes one row.
-    """
-    parts = []
-    for shard, rows in _gathered(batches, "rows"):
-        all_ = _joined([unpack(r[0]) for r in rows])
-        order = np.argsort(all_["h"], kind="stable")
-        h, doc = all_["h"][order], all_["doc"][order]
-        heads = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    """For each bucket of a shard, what is decided and what is open of its classes whose minimiser several documents have."""
+    for shard, rows in gathered(batches, "shard", "bucket", "prints"):
+        parts = [unpack([blob], PRINTS) for _, blob in rows]
+        sizes = [len(p["h"]) for p in parts]
+        bucket = np.repeat(np.array([b for b, _ in rows]), sizes)
+        number = np.concatenate([np.arange(n) for n in sizes])
+        rows.clear()
+        all_ = {n: np.concatenate([p.pop(n) for p in parts]) for n, *_ in PRINTS}
+        order = np.argsort(all_["h"])
+        heads = np.flatnonzero(_starts(all_["h"][order]))
+        doc = all_["doc"][order]
         several = np.minimum.reduceat(doc, heads) != np.maximum.reduceat(doc, heads)
-        keep = order[np.repeat(several, np.diff(np.concatenate([heads, [len(h)]])))]
+        keep = order[np.repeat(several, np.diff(np.append(heads, len(order))))]
         if not len(keep):
             continue
-        all_ = {n: x[keep] for n, x in all_.items()}
-        order = np.lexsort((all_["at"], all_["tie"], all_["doc"], all_["span"], all_["c"], all_["h"]))
+        order = keep[np.lexsort((all_["at"][keep], all_["tie"][keep], all_["doc"][keep], all_["c"][keep], all_["h"][keep]))]
         all_ = {n: x[order] for n, x in all_.items()}
-        group, first = np.ones(len(order), bool), np.ones(len(order), bool)
-        group[1:] = all_["h"][1:] != all_["h"][:-1]
-        first[1:] = group[1:] | (all_["c"][1:] != all_["c"][:-1]) | (all_["span"][1:] != all_["span"][:-1])
-        records = np.zeros(len(order), RECORD)
-        records["cls"], records["shard"], records["first"] = np.cumsum(first) - 1, shard, first.astype(np.uint8) + group
-        for name in ("doc", "tie", "at", "span"):
-            records[name] = all_[name]
-        parts.append(records)
-    if parts:
-        records = np.concatenate(parts)
-        yield from _by_doc(records["doc"], records["tie"], records)
-
-
-def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the bytes of first stretches and deals the records to their shards again."""
-    for batch in batches:
-        data, edges = H.buffers(batch.column("text"))
-        held = batch.column("held")
-        records, counts = records_of(held.flatten(), RECORD)
-        if not len(records):
+        bucket, number = bucket[order], number[order]
+        group, first = _starts(all_["h"]), _starts(all_["h"], all_["c"])
+        cls = np.cumsum(first) - 1
+        begins = np.flatnonzero(group)
+        lone = np.repeat(np.add.reduceat(first, begins) == 1, np.diff(np.append(begins, len(group))))
+        least = all_["doc"][np.flatnonzero(first)[cls]]
+        gone = lone & (least < all_["doc"])
+        bits = (1 << (all_["span"] + 1)) - 1
+        all_ |= {"number": number, "cls": cls, "first": first.astype(np.int64) + group, "bits": bits}
+        by = np.lexsort((number, bucket))
+        cuts = np.append(np.flatnonzero(_starts(bucket[by])), len(by))
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            mine = by[i:j]
+            blobs = [pack({n: all_[n][some] for n, *_ in fields}, fields) if len(some := mine[use[mine]]) else None for fields, use in ((DECIDED, gone), (OPEN, ~lone))]
+            if any(blobs):
+                yield pa.RecordBatch.from_arrays([pa.array([int(bucket[mine[0]])]), pa.array([shard]), *(pa.array([b], pa.binary()) for b in blobs), pa.nulls(1, pa.binary())], ["bucket", "shard", "decided", "open", "bytes"])
+
+
+def _fetch(texts: pa.Table, asked: pa.Table) -> pa.Table:
+    """What a bucket was sent, with the bytes of the classes that it has first."""
+    docs, ties = _told(texts)
+    data, edges = H.buffers(texts.column("text").cast(pa.large_binary()).combine_chunks()) if len(texts) else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    order = np.lexsort((ties, docs))
+    place = {key: int(k) for key, k in zip(zip(docs[order].tolist(), ties[order].tolist(), strict=True), order, strict=True)}
+    out: list[bytes | None] = []
+    for blob in asked.column("open").to_pylist():
+        if blob is None:
+            out.append(None)
             continue
-        row = np.repeat(np.repeat(np.arange(len(held)), held.value_lengths().to_numpy()), counts)
-        order = np.argsort(records["shard"], kind="stable")
-        records, row = records[order], row[order]
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(records["shard"])) + 1, [len(order)]])
-        sizes = np.where(records["first"] > 0, records["span"].astype(np.int64) + LENGTH, 0)
+        open_ = unpack([blob], OPEN)
+        use = np.flatnonzero(open_["first"])
+        rows = np.array([place[key] for key in zip(open_["doc"][use].tolist(), open_["tie"][use].tolist(), strict=True)], np.int64)
+        sizes = open_["span"][use] + LENGTH
         ends = np.cumsum(sizes)
-        places = np.repeat(edges[row] + records["at"] - (ends - sizes), sizes) + np.arange(ends[-1])
-        bytes_ = data[places]
-        edge = np.concatenate([[0], ends])[cuts]
-        rows = [squeezed(np.ascontiguousarray(records[a:b].view(np.uint8).reshape(-1, RECORD.itemsize).T).tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-        texts = [squeezed(bytes_[a:b].tobytes()) for a, b in zip(edge, edge[1:], strict=False)]
-        yield pa.RecordBatch.from_arrays([pa.array(records["shard"][cuts[:-1]].astype(np.int64)), pa.array(rows, pa.binary()), pa.array(texts, pa.binary())], ["shard", "rows", "bytes"])
+        where = np.repeat(edges[rows] + open_["at"][use] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+        out.append(squeezed(data[where].tobytes()))
+    return pa.table([*(asked.column(n) for n in ("bucket", "shard", "decided", "open")), pa.array(out, pa.binary())], ["bucket", "shard", "decided", "open", "bytes"])
 
 
 def _induce(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -323,12 +315,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_lms[lms] = True
     first = _induce(text, is_s, lms, counts)
     sorted_ = first[is_lms[first]]
-    up, down = H.powers(n + 2)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, _U64), np.cumsum(H._VALUES[text] * up[:n])])
-        stop = np.concatenate([lms[1:] + 1, [n]])
-        content = H.mix((sums[stop] - sums[lms]) * down[lms] + (stop - lms).astype(_U64))
-        content[-1] ^= _U64(1)  # the last one ends with the text, and is like no other
+    content = H.spans(text, lms, np.concatenate([lms[1:] + 1, [n]]))
+    content[-1] ^= _U64(1)  # the last one ends with the text, and is like no other
     number = np.empty(n, np.int64)
     number[lms] = np.arange(len(lms))
     by = content[number[sorted_]]
@@ -386,93 +374,97 @@ def least_docs(texts: list[np.ndarray], docs: np.ndarray, length: int = LENGTH)
     return [least[f : f + c] for f, c in zip(firsts, counts, strict=True)]
 
 
+def _verdicts(parts: list[dict[str, np.ndarray]], texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the open classes of each bucket of a shard, (number, bits) of those with windows to remove."""
+    sizes = [len(p["cls"]) for p in parts]
+    all_ = {n: np.concatenate([p[n] for p in parts]) for n in ("cls", "doc", "span", "first")}
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    wanted = np.where(all_["first"] > 0, all_["span"] + LENGTH, 0)
+    starts = np.cumsum(wanted) - wanted
+    leaders = np.flatnonzero(all_["first"])
+    leaders = leaders[np.argsort(all_["cls"][leaders], kind="stable")]
+    names, of = np.unique(all_["cls"], return_inverse=True)
+    least = np.full((len(names), LENGTH - KMER + 1), NULL_ID, np.int64)
+    cuts, at = np.append(np.flatnonzero(all_["first"][leaders] == 2), len(leaders)), 0
+    volume = np.concatenate([[0], np.cumsum(wanted[leaders])])
+    while at < len(cuts) - 1:
+        to = max(at + 1, int(np.searchsorted(volume[cuts], volume[cuts[at]] + PIECE, "right")) - 1)
+        some = leaders[cuts[at] : cuts[to]]
+        pieces = [data[a : a + n] for a, n in zip(starts[some].tolist(), wanted[some].tolist(), strict=True)]
+        for k, found in enumerate(least_docs(pieces, all_["doc"][some]), int(cuts[at])):
+            least[k, : len(found)] = found
+        at = to
+    bits = np.zeros(len(of), np.int64)
+    for j in range(least.shape[1]):
+        bits |= (least[of, j] < all_["doc"]).astype(np.int64) << j
+    edges = np.concatenate([[0], np.cumsum(sizes)])
+    return [(p["number"][hit], bits[a:z][hit]) for p, a, z in zip(parts, edges, edges[1:], strict=False) for hit in [np.flatnonzero(bits[a:z])]]
+
+
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each document, its stretches with the windows to remove as bits."""
-    for _, rows in _gathered(batches, "rows", "bytes"):
-        zstd = zstandard.ZstdDecompressor()
-        columns = [np.frombuffer(zstd.decompress(r[0]), np.uint8).reshape(RECORD.itemsize, -1).T for r in rows]
-        records = np.ascontiguousarray(np.concatenate(columns)).view(RECORD).reshape(-1)
-        data = np.frombuffer(b"".join(zstd.decompress(r[1]) for r in rows), np.uint8)
-        sizes = np.where(records["first"] > 0, records["span"].astype(np.int64) + LENGTH, 0)
-        starts = np.cumsum(sizes) - sizes
-        leaders = np.flatnonzero(records["first"])
-        leaders = leaders[np.argsort(records["cls"][leaders], kind="stable")]
-        # A row that is there twice leads a class twice; the first will do. Its minimiser is told by either.
-        fresh = np.ones(len(leaders), bool)
-        fresh[1:] = records["cls"][leaders][1:] != records["cls"][leaders][:-1]
-        leaders = leaders[fresh]
-        least = np.full((len(leaders), LENGTH - KMER + 1), NULL_ID, np.int64)
-        cuts, at = np.concatenate([np.flatnonzero(records["first"][leaders] == 2), [len(leaders)]]), 0
-        volume = np.concatenate([[0], np.cumsum(sizes[leaders])])
-        while at < len(cuts) - 1:
-            to = max(at + 1, int(np.searchsorted(volume[cuts], volume[cuts[at]] + PIECE, "right")) - 1)
-            some = leaders[cuts[at] : cuts[to]]
-            texts = [data[a : a + n] for a, n in zip(starts[some].tolist(), sizes[some].tolist(), strict=True)]
-            for k, found in enumerate(least_docs(texts, records["doc"][some]), int(cuts[at])):
-                least[k, : len(found)] = found
-            at = to
-        bits = np.zeros(len(records), np.int64)
-        for j in range(least.shape[1]):
-            bits |= (least[records["cls"], j] < records["doc"]).astype(np.int64) << j
-        hit = np.flatnonzero(bits)
-        if len(hit):
-            found = np.zeros(len(hit), HIT)
-            found["at"], found["bits"] = records["at"][hit], bits[hit]
-            yield from _by_doc(records["doc"][hit], records["tie"][hit], found)
+    """For each bucket of a shard, all that is decided."""
+    for shard, rows in gathered(batches, "shard", "bucket", "decided", "open", "bytes"):
+        open_ = [r for r in rows if r[2] is not None]
+        found = _verdicts([unpack([r[2]], OPEN) for r in open_], [unsqueezed(r[3]) for r in open_]) if open_ else []
+        by_bucket = {r[0]: x for r, x in zip(open_, found, strict=True)}
+        for bucket, decided, _, _ in rows:
+            old = unpack([decided] if decided is not None else [], DECIDED)
+            number, bits = by_bucket.get(bucket, (old["number"][:0], old["bits"][:0]))
+            number, bits = np.concatenate([old["number"], number]), np.concatenate([old["bits"], bits])
+            if len(number):
+                order = np.argsort(number, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([shard]), pa.array([pack({"number": number[order], "bits": bits[order]}, DECIDED)], pa.binary())], ["bucket", "shard", "decided"])
 
 
 def marked(size: int, at: np.ndarray, bits: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which bytes of a text go, from the bits of its stretches."""
-    change = np.zeros(size + 1, np.int64)
-    for j in range(length):
+    """Which of size bytes go, from the places of stretches and the bits of their windows."""
+    change = np.zeros(size + 1, np.int32)
+    for j in range(length - KMER + 1):
         starts = at[(bits >> j) & 1 == 1] + j
         np.add.at(change, starts, 1)
         np.add.at(change, starts + length, -1)
-    return np.cumsum(change[:size]) > 0
-
-
-def _gone(row: list[dict] | None, size: int) -> np.ndarray:
-    if not row:
-        return np.zeros(size, bool)
-    hits = np.frombuffer(b"".join(x["rows"] for x in row), HIT)
-    return marked(size, hits["at"].astype(np.int64), hits["bits"])
-
-
-def _finish(with_text: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, edges = H.buffers(batch.column("text"))
-            out: list[list] = [[], [], [], [], []]
-            for row, held in enumerate(batch.column("hits")):
-                text = data[edges[row] : edges[row + 1]]
-                gone = _gone(held.as_py(), len(text))
-                kept = text[~gone].tobytes()
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]) if len(gone) else 0
-                for column, value in zip(out, (len(text), int(gone.sum()), spans, sha256(kept).hexdigest(), kept), strict=True):
-                    column.append(value)
-            columns = [batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            if with_text:
-                columns, names = [*columns, pa.array(out[4], pa.binary())], [*names, "kept"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+    return np.cumsum(change[:size], dtype=np.int32) > 0
+
+
+def _finish(shards: int, with_text: bool):
+    def run(texts: pa.Table, verdicts: pa.Table) -> pa.Table:
+        docs, ties = _told(texts)
+        own = Classes(texts.column("text"), docs, ties, shards)
+        bits = np.zeros(len(own.firsts), np.int64)
+        begin = dict(zip(own.shards.tolist(), own.cuts.tolist(), strict=False))
+        for shard, blob in zip(verdicts.column("shard").to_pylist(), verdicts.column("decided").to_pylist(), strict=True):
+            decided = unpack([blob], DECIDED)
+            bits[begin[shard] + decided["number"]] = decided["bits"]
+        # A window of a class goes where an earlier document has it, be it of the bucket or not.
+        later = docs[own.row] > docs[own.row[own.firsts]][own.of]
+        bits = np.where(later, (1 << (own.span.astype(np.int64) + 1)) - 1, bits[own.of])
+        hit = np.flatnonzero(bits)
+        gone = marked(len(own.data), own.edges[own.row[hit]] + own.at[hit], bits[hit])
+        out: list[list] = [[], [], [], [], []]
+        for a, z in zip(own.edges.tolist(), own.edges[1:].tolist(), strict=False):
+            off = gone[a:z]
+            kept = own.data[a:z][~off].tobytes()
+            spans = int(np.count_nonzero(off[1:] & ~off[:-1]) + off[0]) if z > a else 0
+            for column, value in zip(out, (z - a, int(np.count_nonzero(off)), spans, sha256(kept).hexdigest(), kept), strict=True):
+                column.append(value)
+        columns = [texts.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+        if with_text:
+            columns, names = [*columns, pa.array(out[4], pa.binary())], [*names, "kept"]
+        return pa.table(columns, names)
 
     return run
 
 
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the bytes left) for each row of docs."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = SHARDS_PER_PARTITION * partitions
-    # Texts are told apart by a hash only where ids repeat; else it is a constant and no key.
-    ids = F.coalesce("doc_id", F.lit(int(NULL_ID)))
-    repeat = not docs.groupBy(ids.alias("doc")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    keyed = docs.select("doc_id", "text", ids.alias("doc"), (F.hash("text") if repeat else F.lit(0)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"))
-    keys = ["doc", "tie"] if repeat else ["doc"]
-    dealt = keyed.select("doc_id", "tie", "text").mapInArrow(_deal(shards), "shard long, rows binary").repartition(partitions, "shard").sortWithinPartitions("shard")
-    held = dealt.mapInArrow(_shared, "doc long, tie long, rows binary").groupBy(*keys).agg(F.collect_list("rows").alias("held"))
-    fetched = keyed.join(held, keys).select("doc_id", "text", "held")  # the same columns as below, so one shuffle of texts serves both
-    again = fetched.mapInArrow(_fetch, "shard long, rows binary, bytes binary").repartition(partitions, "shard").sortWithinPartitions("shard")
-    hits = again.mapInArrow(_decide, "doc long, tie long, rows binary").groupBy(*keys).agg(F.collect_list(F.struct("rows")).alias("hits"))
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("doc", "tie"), F.lit(shards))
+    # The same columns in all three steps, so that one shuffle of the texts serves them all.
+    texts = told_apart(docs).withColumn("bucket", bucket).groupBy("bucket")
+    dealt = texts.applyInArrow(_deal(shards), "shard long, bucket long, prints binary").repartition(shards, "shard").sortWithinPartitions("shard")
+    asked = dealt.mapInArrow(_shared, ROWS)
+    fetched = texts.cogroup(asked.groupBy("bucket")).applyInArrow(_fetch, ROWS).repartition(shards, "shard").sortWithinPartitions("shard")
+    verdicts = fetched.mapInArrow(_decide, "bucket long, shard long, decided binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return keyed.join(hits, keys, "left").select("doc_id", "text", "hits").mapInArrow(_finish(with_text), schema)
+    return texts.cogroup(verdicts.groupBy("bucket")).applyInArrow(_finish(shards, with_text), schema)

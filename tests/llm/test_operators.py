@@ -435,7 +435,7 @@ def test_groups_of_alike_lines(spark, monkeypatch, small):
     """Lines near the threshold in large groups, of all lengths; with small bounds, by blocks and by a second search."""
     rnd = random.Random(12)
     if small:
-        for name, value in (("BLOCK", 10), ("AT_ONCE", 1), ("NEAR", 1), ("HELD", 50), ("PIECE", 3000)):
+        for name, value in (("BLOCK", 10), ("AT_ONCE", 1), ("FIRST", 1), ("NEAR", 1), ("HELD", 50), ("PIECE", 3000)):
             monkeypatch.setattr(line_dedup, name, value)
     texts = []
     for k in range(90):

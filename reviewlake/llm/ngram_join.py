@@ -15,8 +15,8 @@ and the mean length of a list, both counted over all documents. A group in betwe
 Lists are scanned without making all pairs of a group. First each list's members are compared with its most
 central one (whose lists are longest), linked ones are joined to components, and only members of different
 components that share a list are compared after that: as pairs in lists of up to 8 members, and else within a task,
-by sketches, which bound the difference of a pair from below: a list travels as its members, a large one as blocks, and
-only pairs that the sketches allow become rows, whose sets are then compared. No candidate is capped. Components come
+by sketches, which bound the difference of a pair from below: a list travels as its members, a large one as blocks.
+Only for pairs that the sketches allow the sets are made again, from one text of each class, and compared. No candidate is capped. Components come
 from label propagation with pointer jumping over tables in the shared folder.
 
 Skew: a task lists each class once, however many copies it holds, so the lists of a hot class have a row a task;
@@ -196,19 +196,25 @@ def _lists(size: int, percent: int, light: int, table: np.ndarray):
                     row, key = _keys(at[use], found[use], np.where(fresh, sizes, 0), percent, light, table)
                 edges = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=end - first))])
                 lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(key.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in ("doc_id", "tie")), pa.array(sizes, pa.int64()), pa.array(sig), lists], ["doc_id", "tie", "n", "sig", "keys"])
+                sketch = sketches(at, found, np.where(fresh, sizes, 0), end - first)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(first, end - first) for c in ("doc_id", "tie")), pa.array(sizes, pa.int64()), pa.array(sig), lists, sketch], ["doc_id", "tie", "n", "sig", "keys", "sketch"])
 
     return run
 
 
+def sketches(at: np.ndarray, found: np.ndarray, sizes: np.ndarray, rows: int) -> pa.Array:
+    """The elements of each row's set counted in BUCKETS buckets, modulo 256; null for sets of size 0."""
+    table = np.zeros((rows, BUCKETS), np.uint8)
+    np.add.at(table, (at, (found & _U64(BUCKETS - 1)).astype(np.int64)), 1)
+    return pa.array([x.tobytes() if n else None for x, n in zip(table, sizes.tolist(), strict=True)], pa.binary())
+
+
 def _elements(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, at, found, sizes, sig in _sets(batch, size):
-                sketch = np.zeros((end - first, BUCKETS), np.uint8)
-                np.add.at(sketch, (at, (found & _U64(BUCKETS - 1)).astype(np.int64)), 1)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sizes, pa.int64()), pa.array([s.tobytes() for s in sketch], pa.binary()), lists], ["sig", "n", "sketch", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sizes, pa.int64()), lists], ["sig", "n", "elements"])
 
     return run
 
@@ -218,14 +224,14 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, tie, n, sig (of its class; of no meaning where n is 0), keys for each row, stored.
+    """doc_id, tie, n, sig (of its class; of no meaning where n is 0), keys and sketch for each row, stored.
 
-    Keys are with the first row that a task has of a class.
+    Keys and sketch are with the first row that a task has of a class.
     """
     table, sizes = frequencies(docs, size)
     light = light_groups(percent, sizes, list_length(table))
     run = _lists(size, percent, light, np.minimum(table, np.iinfo(np.int32).max).astype(np.int32))
-    return stored(keyed(docs).select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, n long, sig long, keys array<long>"), "ngram-sets")
+    return stored(keyed(docs).select("doc_id", "tie", "text").mapInArrow(run, "doc_id long, tie long, n long, sig long, keys array<long>, sketch binary"), "ngram-sets")
 
 
 def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,20 +244,42 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link."""
-    small, full = sets.select("sig", "n", "sketch"), sets.select("sig", "n", "elements")
+def _both(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
+    """pairs (a, b) with n_a, n_b and x, y: what the table has of the classes."""
+    one = table.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col(what).alias("x"))
+    two = table.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col(what).alias("y"))
+    return pairs.join(one, "a").join(two, "b")
 
-    def both(left: DataFrame, right: DataFrame, what: str, a: str, b: str) -> DataFrame:
-        one = right.select(F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col(what).alias(a))
-        two = right.select(F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col(what).alias(b))
-        return left.join(one, "a").join(two, "b")
 
-    sized = both(pairs, small, "sketch", "sk_a", "sk_b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+def verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, stored. Sets are made only of the classes in pairs that the sketches allow."""
+    sized = _both(pairs, sketched, "sketch").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     total = F.col("n_a") + F.col("n_b")
-    maybe = sized.withColumn("apart", total - 2 * F.ceil(percent * total / F.lit(float(100 + percent)) - 1e-9)).select("a", "b", "sk_a", "sk_b", "apart").mapInArrow(_within, "a long, b long")
+    apart = total - 2 * F.ceil(percent * total / F.lit(float(100 + percent)) - 1e-9)
+    maybe = stored(sized.select("a", "b", F.col("x").alias("sk_a"), F.col("y").alias("sk_b"), apart.alias("apart")).mapInArrow(_within, "a long, b long"), "ngram-maybe")
+    sets = _fetched(maybe.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), docs, members, size)
     common = F.size(F.array_intersect("x", "y"))
-    return both(maybe, full, "elements", "x", "y").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+    links = stored(_both(maybe, sets, "elements").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "ngram-links")
+    discard(maybe, sets)
+    return links
+
+
+def _fetched(sigs: DataFrame, docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """sig, n, elements of classes, from the text of one row of each; stored."""
+    own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "tie")
+    ids = stored(members.filter("n > 0").join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min(own).alias("r"), F.count(F.lit(1)).alias("rows")).select("sig", "r.doc", "r.tie", "rows"), "ngram-wanted")
+    only = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
+    texts = keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(only.select("doc", "tie"), ["doc", "tie"])
+    found = texts.select("text").mapInArrow(_elements(size), "sig long, n long, elements array<long>")
+    # Only where a class has several rows can one row be there twice.
+    out = stored(found.dropDuplicates(["sig"]) if _repeats(members) else found, "ngram-elements")
+    discard(ids)
+    return out
+
+
+def _repeats(members: DataFrame) -> bool:
+    """Whether rows share id and text."""
+    return not members.groupBy("doc_id", "tie").count().filter("count > 1").isEmpty()
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -277,31 +305,24 @@ def linked(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
     """node, label of the classes in `members` that link with another one."""
     dealt = members.filter("n > 0").select("sig", "n", F.explode("keys").alias("key")).repartition("key").distinct()
     lists = stored(dealt.withColumn("c", F.count(F.lit(1)).over(_by("key"))).filter("c > 1"), "ngram-lists")
-    own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "tie")
-    wanted = stored(lists.select("sig").distinct().join(members.filter("n > 0").groupBy("sig").agg(F.min(own).alias("r")), "sig").select("sig", "r.doc", "r.tie"), "ngram-wanted")
-    few = wanted.count() <= MOST_BROADCAST
-    ids = wanted.select("doc", "tie").distinct()
-    texts = keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(F.broadcast(ids) if few else ids, ["doc", "tie"])
-    found = texts.select("text").mapInArrow(_elements(size), "sig long, n long, sketch binary, elements array<long>")
-    twice = not members.join(F.broadcast(ids) if few else ids, [F.coalesce("doc_id", F.lit(NULL_ID)) == F.col("doc"), members["tie"] == ids["tie"]]).groupBy("doc", ids["tie"]).count().filter("count > 1").isEmpty()
-    sets = stored(found.dropDuplicates(["sig"]) if twice else found, "ngram-elements")
+    sketched = stored(members.filter("sketch IS NOT NULL").select("sig", "n", "sketch").join(lists.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "ngram-sketches")
     # Each list's most central member against the others.
     central = lists.groupBy("sig").agg(F.sum("c").alias("weight"))
     weighed = lists.join(central, "sig")
     hub = weighed.groupBy("key").agg(F.max(F.struct("weight", "sig", "n")).alias("h")).select("key", F.col("h.sig").alias("hub"), F.col("h.n").alias("m"))
     alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     star = stored(lists.join(hub, "key").filter("sig <> hub").filter(alike).select(*_ordered(F.col("sig"), F.col("hub"))).distinct(), "ngram-star")
-    links = stored(verified(star, sets, percent), "ngram-links")
+    links = verified(star, sketched, docs, members, size, percent)
     labels = connected(links)
     # Then, of the lists that still hold several components, the members of different ones. Of two members the pair is done.
     open_ = lists.filter("c > 2").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("key", "sig", "n", "c", F.coalesce("label", "sig").alias("label"))
     spread = open_.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
     open_ = stored(open_.join(spread, "key", "left_semi"), "ngram-open")
-    discard(lists, labels, wanted)
-    cross = _few(open_.filter(F.col("c") <= FEW), percent).unionByName(_crossing(open_.filter(F.col("c") > FEW), sets, percent))
-    more = stored(verified(cross.distinct().join(star, ["a", "b"], "left_anti"), sets, percent), "ngram-more")
+    discard(lists, labels)
+    cross = _few(open_.filter(F.col("c") <= FEW), percent).unionByName(_crossing(open_.filter(F.col("c") > FEW), sketched, percent))
+    more = verified(cross.distinct().join(star, ["a", "b"], "left_anti"), sketched, docs, members, size, percent)
     out = connected(links.unionByName(more))
-    discard(open_, star, sets, links, more)
+    discard(open_, star, sketched, links, more)
     return out
 
 
@@ -312,10 +333,10 @@ def _few(open_: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"))
 
 
-def _crossing(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crossing(open_: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """a, b: members of one list and of different components that size and sketch allow to link."""
     blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    held = open_.drop("n", "c").join(blocks, "key").join(sets.select("sig", "n", "sketch"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    held = open_.drop("n", "c").join(blocks, "key").join(sketched, "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = held.select("key", "sig", "label", "n", "sketch", "block", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     dealt = dealt.select("key", "x", "y", "block", "n", "sig", "label", "sketch").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")

@@ -17,7 +17,7 @@ central one (whose lists are longest), linked ones are joined to components, and
 components that share a list are compared after that: as pairs in lists of up to 8 members, and else within a task,
 by sketches, which bound the difference of a pair from below: a list travels as its members, a large one as blocks.
 Only for pairs that the sketches allow the sets are made again, from one text of each class, and compared. No candidate is capped. Components come
-from label propagation with pointer jumping over tables in the shared folder.
+from one task for a checked number of links, and else from label propagation with pointer jumping over stored tables.
 
 Skew: a task lists each class once, however many copies it holds, so the lists of a hot class have a row a task;
 classes are looked up by broadcast of a counted table or by salted joins.
@@ -51,6 +51,8 @@ ENTRIES, SLICES = 1 << 20, 64
 SMALL, MOST_SUBSETS = 64, 4096
 #: A list of more members is compared in blocks of about so many; one of so few as its pairs.
 BLOCK, FEW = 1024, 8
+#: The most links (16 bytes each) whose components one task finds; more go by label propagation over tables.
+MOST_LINKS = 1_000_000
 _U64 = np.uint64
 
 
@@ -187,10 +189,7 @@ def _lists(size: int, percent: int, light: int, table: np.ndarray):
         seen: set[int] = set()
         for batch in batches:
             for first, end, at, found, sizes, sig in _sets(batch, size):
-                fresh = np.zeros(end - first, bool)
-                for k, s in enumerate(sig.tolist()):
-                    fresh[k] = s not in seen
-                    seen.add(s)
+                fresh = _fresh(sig, seen)
                 use = fresh[at]
                 with np.errstate(over="ignore"):
                     row, key = _keys(at[use], found[use], np.where(fresh, sizes, 0), percent, light, table)
@@ -209,12 +208,24 @@ def sketches(at: np.ndarray, found: np.ndarray, sizes: np.ndarray, rows: int) ->
     return pa.array([x.tobytes() if n else None for x, n in zip(table, sizes.tolist(), strict=True)], pa.binary())
 
 
+def _fresh(sig: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Whether a class is met for the first time."""
+    out = np.zeros(len(sig), bool)
+    for k, s in enumerate(sig.tolist()):
+        out[k] = s not in seen
+        seen.add(s)
+    return out
+
+
 def _elements(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for first, end, at, found, sizes, sig in _sets(batch, size):
+                fresh = _fresh(sig, seen)
+                sizes, found = np.where(fresh, sizes, 0), found[fresh[at]]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(found.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sizes, pa.int64()), lists], ["sig", "n", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(sizes, pa.int64()), lists], ["sig", "n", "elements"]).filter(pa.array(fresh))
 
     return run
 
@@ -251,39 +262,53 @@ def _both(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
     return pairs.join(one, "a").join(two, "b")
 
 
-def verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sketched: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) that link, stored. Sets are made only of the classes in pairs that the sketches allow."""
     sized = _both(pairs, sketched, "sketch").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     total = F.col("n_a") + F.col("n_b")
     apart = total - 2 * F.ceil(percent * total / F.lit(float(100 + percent)) - 1e-9)
     maybe = stored(sized.select("a", "b", F.col("x").alias("sk_a"), F.col("y").alias("sk_b"), apart.alias("apart")).mapInArrow(_within, "a long, b long"), "ngram-maybe")
-    sets = _fetched(maybe.select(F.explode(F.array("a", "b")).alias("sig")).distinct(), docs, members, size)
+    sets = _fetched(maybe, docs, sketched, size)
     common = F.size(F.array_intersect("x", "y"))
     links = stored(_both(maybe, sets, "elements").filter(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b"), "ngram-links")
     discard(maybe, sets)
     return links
 
 
-def _fetched(sigs: DataFrame, docs: DataFrame, members: DataFrame, size: int) -> DataFrame:
-    """sig, n, elements of classes, from the text of one row of each; stored."""
-    own = F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "tie")
-    ids = stored(members.filter("n > 0").join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min(own).alias("r"), F.count(F.lit(1)).alias("rows")).select("sig", "r.doc", "r.tie", "rows"), "ngram-wanted")
-    only = F.broadcast(ids) if ids.count() <= MOST_BROADCAST else ids
-    texts = keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(only.select("doc", "tie"), ["doc", "tie"])
-    found = texts.select("text").mapInArrow(_elements(size), "sig long, n long, elements array<long>")
-    # Only where a class has several rows can one row be there twice.
-    out = stored(found.dropDuplicates(["sig"]) if _repeats(members) else found, "ngram-elements")
-    discard(ids)
-    return out
-
-
-def _repeats(members: DataFrame) -> bool:
-    """Whether rows share id and text."""
-    return not members.groupBy("doc_id", "tie").count().filter("count > 1").isEmpty()
+def _fetched(pairs: DataFrame, docs: DataFrame, sketched: DataFrame, size: int) -> DataFrame:
+    """sig, n, elements of the classes in pairs, from the text of one row of each; stored."""
+    sigs = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    ids = sketched.join(sigs, "sig", "left_semi").select("doc", "tie")
+    only = F.broadcast(ids) if 2 * pairs.count() <= MOST_BROADCAST else ids
+    texts = keyed(docs).withColumn("doc", F.coalesce("doc_id", F.lit(NULL_ID))).join(only, ["doc", "tie"])
+    # A task gives each class once; only copies of a row, with its id, make it twice.
+    return stored(texts.select("text").mapInArrow(_elements(size), "sig long, n long, elements array<long>").dropDuplicates(["sig"]), "ngram-elements")
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """connected() of all pairs of one task."""
+    pairs = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if not pairs:
+        return
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, label[a], label[b])
+        np.minimum.at(least, label[b], label[a])
+        least = least[least[label]]
+        if (least == label).all():
+            break
+        label = least
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "label"])
 
 
 def connected(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of its component, for the nodes of links (a, b)."""
+    """node, label: the smallest node of its component, for the nodes of links (a, b). Up to MOST_LINKS links are taken by one task."""
+    if links.count() <= MOST_LINKS:
+        return stored(links.select("a", "b").coalesce(1).mapInArrow(_united, "node long, label long"), "labels")
     edges = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = stored(edges.distinct(), "edges")
     labels = stored(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "labels")
@@ -305,14 +330,14 @@ def linked(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
     """node, label of the classes in `members` that link with another one."""
     dealt = members.filter("n > 0").select("sig", "n", F.explode("keys").alias("key")).repartition("key").distinct()
     lists = stored(dealt.withColumn("c", F.count(F.lit(1)).over(_by("key"))).filter("c > 1"), "ngram-lists")
-    sketched = stored(members.filter("sketch IS NOT NULL").select("sig", "n", "sketch").join(lists.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "ngram-sketches")
+    sketched = stored(members.filter("sketch IS NOT NULL").select("sig", "n", "sketch", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), "tie").join(lists.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"]), "ngram-sketches")
     # Each list's most central member against the others.
     central = lists.groupBy("sig").agg(F.sum("c").alias("weight"))
     weighed = lists.join(central, "sig")
     hub = weighed.groupBy("key").agg(F.max(F.struct("weight", "sig", "n")).alias("h")).select("key", F.col("h.sig").alias("hub"), F.col("h.n").alias("m"))
     alike = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
     star = stored(lists.join(hub, "key").filter("sig <> hub").filter(alike).select(*_ordered(F.col("sig"), F.col("hub"))).distinct(), "ngram-star")
-    links = verified(star, sketched, docs, members, size, percent)
+    links = verified(star, sketched, docs, size, percent)
     labels = connected(links)
     # Then, of the lists that still hold several components, the members of different ones. Of two members the pair is done.
     open_ = lists.filter("c > 2").join(labels.select(F.col("node").alias("sig"), "label"), "sig", "left").select("key", "sig", "n", "c", F.coalesce("label", "sig").alias("label"))
@@ -320,7 +345,7 @@ def linked(docs: DataFrame, members: DataFrame, size: int, percent: int) -> Data
     open_ = stored(open_.join(spread, "key", "left_semi"), "ngram-open")
     discard(lists, labels)
     cross = _few(open_.filter(F.col("c") <= FEW), percent).unionByName(_crossing(open_.filter(F.col("c") > FEW), sketched, percent))
-    more = verified(cross.distinct().join(star, ["a", "b"], "left_anti"), sketched, docs, members, size, percent)
+    more = verified(cross.distinct().join(star, ["a", "b"], "left_anti"), sketched, docs, size, percent)
     out = connected(links.unionByName(more))
     discard(open_, star, sketched, links, more)
     return out
@@ -336,7 +361,7 @@ def _few(open_: DataFrame, percent: int) -> DataFrame:
 def _crossing(open_: DataFrame, sketched: DataFrame, percent: int) -> DataFrame:
     """a, b: members of one list and of different components that size and sketch allow to link."""
     blocks = open_.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("blocks"))
-    held = open_.drop("n", "c").join(blocks, "key").join(sketched, "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    held = open_.drop("n", "c").join(blocks, "key").join(sketched.select("sig", "n", "sketch"), "sig").withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = held.select("key", "sig", "label", "n", "sketch", "block", other).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
     dealt = dealt.select("key", "x", "y", "block", "n", "sig", "label", "sketch").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "n")

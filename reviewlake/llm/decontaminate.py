@@ -127,9 +127,9 @@ def judge(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int =
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated, with all their columns."""
-    bad = judge(docs, items).filter("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    own = docs.withColumn("__id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("__hash", F.xxhash64("text"))
-    return own.join(bad, ["__id", "__hash"], "left_anti").select(*docs.columns)
+    bad = judge(docs, items).filter("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    own = docs.select(F.struct(F.col("*")).alias("_row"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_hash"))
+    return own.join(bad, ["_id", "_hash"], "left_anti").select("_row.*")
 
 
 def oracle(window: int = WINDOW, share: int = SHARE) -> str:

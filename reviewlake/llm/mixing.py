@@ -16,7 +16,7 @@ documents; the first two are summaries of fixed width whose rows are sources and
 
 Edge cases: null text counts no words, as does a text of white space; a null source is a source of its
 own, the last; repeated rows and ids count each; with no words at all, targets and taken are 0; an
-empty input gives an empty result. The seeded order uses MD5, so reruns and other engines agree.
+empty input gives an empty result; texts may be of any length; columns of any name are kept. The seeded order uses MD5, so reruns and other engines agree.
 """
 
 from __future__ import annotations
@@ -137,11 +137,12 @@ def drawn(docs: DataFrame, **options) -> DataFrame:
 
     Rows that share id, source and text are drawn together, as copies of one of them.
     """
-    plan = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "text_key").agg(F.round(F.sum(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    plan = plan.filter("__times > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("text_key").alias("__key"), "__times")
-    own = docs.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "source", "__text"])
-    both = own.join(plan, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__text") == F.col("__key")))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__times"))).alias("__copy")).drop("__copy")
+    key = ["_id", "_source", "_key"]
+    plan = mix(docs, **options).filter("taken > 0").groupBy("doc_id", "source", "text_key").agg(F.round(F.sum(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
+    plan = plan.filter("_times > 0").toDF("_doc", "_from", "_text", "_times")
+    own = docs.select(F.struct(F.col("*")).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.xxhash64("text").alias("_key")).dropDuplicates(key)
+    both = own.join(plan, F.col("_id").eqNullSafe(F.col("_doc")) & F.col("_source").eqNullSafe(F.col("_from")) & (F.col("_key") == F.col("_text")))
+    return both.select("_row", F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select("_row.*")
 
 
 def oracle(weights: Sequence[int] = WEIGHTS, cap: int = CAP, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: str = SEED) -> str:

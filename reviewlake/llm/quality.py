@@ -150,3 +150,24 @@ def keep(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, left
     found = own.join(F.broadcast(marks) if few else marks, ["_doc", "_tie"], "left").filter("kept IS NULL OR kept")
     cut = found.withColumn("_cut", _without(F.when(F.col("gone").isNotNull(), F.col("_row.text")), "gone"))
     return cut.select(F.col("_row").withField("text", F.when(F.col("gone").isNull(), F.col("_row.text")).otherwise(F.col("_cut"))).alias("_row")).select("_row.*")
+
+
+def oracle() -> str:
+    """DuckDB SQL for op5 that compares lines and windows as text. Documents are told by their ids, which must differ."""
+    words = "'[^\\x20\\x09-\\x0D]+'"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, {words}) AS w FROM d),
+g AS (SELECT r, k, array_to_string(w[k : k + {WINDOW - 1}], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS k FROM w WHERE len(w) >= {WINDOW})),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + {WINDOW})) AS p FROM (SELECT *, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1) GROUP BY r),
+l AS (SELECT r, doc_id, source, line, regexp_extract_all(line, {words}) AS lw FROM (SELECT r, doc_id, source, unnest(string_split(t, chr(10))) AS line FROM d)),
+lf AS (SELECT *, lower(array_to_string(lw, ' ')) AS norm FROM l WHERE len(lw) > 0),
+dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lf GROUP BY r),
+seen AS (SELECT source, norm, min(doc_id) AS first FROM lf GROUP BY source, norm HAVING count(DISTINCT r) > {LINE_DOCS}),
+rem AS (SELECT r, sum(len(lw)) AS n FROM lf JOIN seen ON lf.norm = seen.norm AND lf.source IS NOT DISTINCT FROM seen.source WHERE doc_id <> first GROUP BY r),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(t, '[^{SYMBOLS}]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+  CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(rem.n, 0) AS BIGINT) AS removed_words
+  FROM w LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN rem USING (r))
+SELECT *, base_failed IS FALSE AND n_words > removed_words AND n_words - removed_words >= {LEFT_SHARE} * n_words AS kept
+FROM (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT} * n_words AS base_failed FROM f)"""

@@ -61,4 +61,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.oracle(), "op3_decontaminate": decontaminate.oracle(), "op4_shard_placement": sharding.oracle()}
+    return {"op1_mix_sources": mixing.oracle(), "op3_decontaminate": decontaminate.oracle(), "op4_shard_placement": sharding.oracle(), "op5_quality_rules": quality.oracle()}

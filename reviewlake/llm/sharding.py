@@ -79,8 +79,21 @@ def write_shards(placed: DataFrame, path: str, format: str = "parquet") -> None:
 
 
 def oracle(n_shards: int = 64, size: int = 6529) -> str:
-    """DuckDB SQL that places documents by the same table, given as a list; tests check the table by brute force."""
-    table = lookup_table([f"shard-{k}" for k in range(n_shards)], size)
+    """DuckDB SQL that fills the table by recursion, one claim a step, and places documents."""
     return f"""
-SELECT doc_id, slot, CAST([{",".join(map(str, table))}][slot + 1] AS INTEGER) AS shard
-FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {HEX}))::BIGINT % {size} AS slot FROM documents)"""
+WITH RECURSIVE
+walk AS (
+  SELECT i AS shard,
+         ('0x' || substr(md5('offset:shard-' || i), 1, {HEX}))::BIGINT % {size} AS first,
+         ('0x' || substr(md5('step:shard-' || i), 1, {HEX}))::BIGINT % ({size} - 1) + 1 AS step
+  FROM range({n_shards}) t(i)),
+pref AS MATERIALIZED (SELECT shard, list((first + k * step) % {size} ORDER BY k) AS slots FROM walk, range({size}) r(k) GROUP BY shard),
+fill(id, turn, slots) USING KEY (id) AS (
+  SELECT 0, 0, list_transform(range({size}), lambda x: -1)
+  UNION
+  SELECT 0, turn + 1, list_concat(list_concat(slots[1 : pick], [shard]), slots[pick + 2 :])
+  FROM (SELECT turn, f.slots, p.shard, list_filter(p.slots, lambda s: f.slots[s + 1] < 0)[1] AS pick FROM fill f JOIN pref p ON p.shard = turn % {n_shards} WHERE turn < {size})),
+filled AS (SELECT unnest(range({size})) AS slot, unnest(slots) AS shard FROM fill)
+SELECT doc_id, d.slot, CAST(shard AS INTEGER) AS shard
+FROM (SELECT doc_id, ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {HEX}))::BIGINT % {size} AS slot FROM documents) d
+JOIN filled USING (slot)"""

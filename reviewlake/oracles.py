@@ -87,6 +87,14 @@ runs AS (SELECT 'run-' || h AS id, h * 3600 AS timestamp, count(*) FILTER (NOT g
 TRADE = "SELECT l_suppkey AS from_id, l_partkey AS to_id, CASE l_returnflag WHEN 'A' THEN 'Calls' WHEN 'N' THEN 'References' ELSE 'Imports' END AS kind FROM lineitem"
 SIZES = """s AS (SELECT DISTINCT * FROM (SELECT CAST(p_size AS BIGINT) AS from_id, CAST(p_size // 5 * 5 + p_partkey % 5 AS BIGINT) AS to_id FROM part
   UNION ALL SELECT CAST(p_size AS BIGINT), CAST(p_size // 5 * 5 + 7 AS BIGINT) FROM part) WHERE from_id % 5 < 4)"""
+#: What each line of queries.SAMPLES is told, by its number; the others nothing.
+SAMPLE_FINDINGS = """(0, 'py', 'SQL', 'error', 'Possible SQL injection: f-string SQL in database call'), (1, 'py', 'CMD', 'error', 'Possible command injection: os.system() call'),
+(2, 'py', 'DESER', 'error', 'Insecure deserialization: pickle.load() — arbitrary code execution on untrusted data'), (3, 'py', 'SSRF', 'error', 'Possible SSRF: requests call with f-string URL (interpolated)'),
+(4, 'py', 'PATH', 'error', 'Possible path traversal: open() with f-string path (interpolated)'), (5, 'py', 'LOG', 'warning', 'Sensitive data in log: sensitive variable passed to Python logging call'),
+(6, 'yaml', 'ENDPT', 'warning', 'Hardcoded endpoint: hardcoded private IP (10.x.x.x)'), (7, 'py', 'ML', 'error', 'ML pipeline issue: fit on test data (data leakage)'),
+(8, 'tf', 'INFRA', 'error', 'Infrastructure issue: public S3 bucket ACL (exposes bucket to internet)'), (9, 'js', 'HOOKS', 'error', 'Hook inside condition'), (10, 'js', 'ASYNC', 'error', 'Async Promise executor'),
+(11, 'py', 'DEP', 'warning', 'Dependency issue: wildcard import in Python (pollutes namespace)'), (12, 'py', 'ERR', 'warning', 'Bare except without exception type'), (13, 'yaml', 'SEC', 'error', 'Possible secret exposure: AWS access key'),
+(2, 'py', 'ML', 'warning', 'ML pipeline issue: pickle for model serialization (insecure, non-portable)'), (16, 'py', 'ML', 'info', 'ML pipeline issue: train_test_split without stratify (imbalanced data risk)')"""
 BRIEF = "prefix, severity, message, file, line"
 
 
@@ -99,6 +107,18 @@ def closure(start: int, kinds: str, forward: bool, depth: int | None) -> str:
 
 ORACLES: dict[str, str] = {
     "rules_first_match": rule_sql(),
+    "rules_by_catalogue": f"""SELECT prefix, severity, message, 'lib/f' || doc_id || '.' || ext AS file, CAST(1 AS INTEGER) AS line FROM documents JOIN (VALUES {SAMPLE_FINDINGS}) v(k, ext, prefix, severity, message) ON doc_id % 19 = k""",
+    "worse_changes": f"WITH {CHANGES} SELECT new_id, classification FROM classified WHERE classification IN ('Breaking', 'PotentiallyBreaking')",
+    "store_reads": f"""WITH {EDGES}, {NODES} SELECT 'node_count' AS method, count(*) AS id FROM new UNION ALL SELECT 'node', id FROM new WHERE id = 5 UNION ALL SELECT 'find_nodes', id FROM new WHERE file_path = 'mod1/Brand11.py'
+UNION ALL SELECT 'find_nodes_by_kind', id FROM new WHERE kind = 'Class' UNION ALL SELECT 'edges_from', to_id FROM e WHERE from_id = 3 UNION ALL SELECT 'edges_to', from_id FROM e WHERE to_id = 3 UNION ALL SELECT DISTINCT 'direct_dependents', from_id FROM e WHERE to_id = 5""",
+    "dead_names": f"""WITH {FILES}, n AS (SELECT path, content, regexp_extract(content, '[a-z]{{3,}}') AS name FROM files WHERE content IS NOT NULL)
+SELECT 'IMP' AS prefix, 'warning' AS severity, '`' || name || '` is imported but never used' AS message, path AS file, CAST(0 AS INTEGER) AS line, 'Remove the unused import of `' || name || '`' AS suggestion
+FROM n WHERE name <> '' AND len(list_filter(string_split_regex(content, '[^A-Za-z0-9_]+'), lambda x: x = name)) <= 1""",
+    "nesting_depth": f"""WITH {LINES}, c AS (SELECT path, line_no, translate(line, 'aeiou', '{{}}{{}}{{') AS line FROM lines), k AS (SELECT path, line_no, line FROM (SELECT *, ltrim(replace(line, chr(9), ' ')) AS t FROM c) WHERE NOT (starts_with(t, '//') OR starts_with(t, '*') OR starts_with(t, '/*')) AND len(line) > 0),
+b AS (SELECT path, line_no, unnest(string_split(regexp_replace(line, '[^{{}}]+', '', 'g'), '')) AS ch, generate_subscripts(string_split(regexp_replace(line, '[^{{}}]+', '', 'g'), ''), 1) AS i FROM k),
+s AS (SELECT path, line_no, i, sum(CASE ch WHEN '{{' THEN 1 WHEN '}}' THEN -1 ELSE 0 END) OVER (PARTITION BY path ORDER BY line_no, i) AS s FROM b),
+d AS (SELECT path, s - least(0, min(s) OVER (PARTITION BY path ORDER BY line_no, i)) AS d FROM s)
+SELECT p.path, CAST(greatest(coalesce(max(d.d), 0) - 1, 0) AS INTEGER) AS depth FROM (SELECT DISTINCT path FROM lines) p LEFT JOIN d ON d.path = p.path GROUP BY p.path""",
     "scan_lines": f"WITH {LINES} SELECT path, line_no, length(line) AS n_chars FROM lines",
     "line_stats": f"WITH {LINES} SELECT ext, count(*) AS n_lines, count(*) FILTER (line <> '') AS n_filled, count(DISTINCT path) AS n_files FROM lines GROUP BY ext",
     "discovered_files": f"WITH {FILES} SELECT path, file_name, ext FROM files WHERE ext IN ('py', 'rs') AND NOT contains(path, '/src1/') AND NOT (ext = 'rs' AND starts_with(file_name, 'd1'))",

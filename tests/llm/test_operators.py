@@ -1,5 +1,6 @@
 """The training-data operators against brute force, over one small table with all edge cases."""
 
+import math
 import random
 import re
 import zlib
@@ -102,14 +103,45 @@ def test_apportion(spark):
 
 
 # 2
+LONG = "Some words of an article that goes on for a while. " * 4
 PAGES = [
     ("<html><body><nav><a href=x>Home</a></nav><article><h1>A &amp; B</h1><p>First  text\n here.<br>more<p><b>Open <i>tags</b></article><aside>side</aside><footer>f</footer></body>", "A & B\nFirst text here. more\nOpen tags"),
     ("<header>Site</header><div class='main-menu'><a>x</a></div><div id=content><h2>T</h2><p>A long paragraph of real content that goes on.</p><p>Another long paragraph of content&nbsp;here too.</p></div><div class='comments'><p>I do not agree with this at all, says a reader.</p></div><form><p>Subscribe to our newsletter now please</p></form>", "T\nA long paragraph of real content that goes on.\nAnother long paragraph of content here too."),
     (None, ""), ("", ""), ("no tags at all", "no tags at all"), ("<script>var a = '<p>x</p>';</script><style>p{}</style>", ""),
     ("<article class='post'><p>Body.</p><div class=ad>Buy now</div><section id='comments'><p>reader</p></section></article>", "Body."),
+    # End tags left out, void elements with hints, hints that say how a page is laid out or hold the whole article.
+    ("<p class=promo>Buy now<p>" + LONG, LONG.strip()),
+    ("<ul><li class=ad>buy<li>one<li>two</ul><p>" + LONG, "one\ntwo\n" + LONG.strip()),
+    ("<div><hr class='ad-line'><p>hello there</p></div>", "hello there"),
+    ("<head><title>x</title><p>hello", "hello"),
+    ("<table><tr><td>a<td>b<tr><td>c</table>", "a b\nc"),
+    ("<article class='post has-sidebar'><p>Body.</p></article>", "Body."),
+    ("<div class='layout with-sidebar'><form><h1>T</h1><p>" + LONG + "<p>short</form></div>", "T\n" + LONG.strip() + "\nshort"),
+    ("<section class=discussion><article><p>" + LONG + "</article></section>", LONG.strip()),
+    ("<article><h1>T</h1><div class='legal analysis'>Of the law.</div><p>" + LONG + "</article>", "T\nOf the law.\n" + LONG.strip()),
+    ("<main><h1>T</h1><article><p>" + LONG + "</article><div id=comments><article class=comment><p>" + LONG * 3 + "</article></div></main>", "T\n" + LONG.strip()),
+    ("<article><p>" + LONG + "<div class=related><h3>More</h3><a href=x>Another of our articles</a></div></article>", LONG.strip()),
+    ("<article><p>x <span class=ad>buy</span> y</article>", "x y"),
+    # No article element: the cluster names the region.
+    ("<div id=x><a href=a>Home</a> <a href=b>News</a></div><div id=y><h1>T</h1><div><p>" + LONG + "<p>short<p>" + LONG + "</div></div><div id=z><a href=c>Imprint</a></div>", "T\n" + LONG.strip() + "\nshort\n" + LONG.strip()),
+    ("<div><p>" + LONG + "<p>" + LONG * 3 + "</div><div><div>Small print</div></div>", LONG.strip() + "\n" + (LONG * 3).strip()),
 ]
 
 
+def test_clusters():
+    """Smoothing and threshold against plain sums and against all splits."""
+    draw = random.Random(7)
+    for _ in range(50):
+        values = [draw.choice((0.0, draw.random() * 5, 50 + draw.random() * 50)) for _ in range(draw.randint(2, 30))]
+        weights = {d: math.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)}
+        plain = [sum(w * values[k + d] for d, w in weights.items() if 0 <= k + d < len(values)) / sum(weights.values()) for k in range(len(values))]
+        assert html_extract.smoothed(values) == pytest.approx(plain)
+        limit = html_extract.threshold(plain)
+        low, high = [v for v in plain if v <= limit], [v for v in plain if v > limit]
+        if high:  # the limit is half-way between the means of its sides
+            assert limit == pytest.approx((sum(low) / len(low) + sum(high) / len(high)) / 2)
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(k, None if k == 2 else "u", h, 1) for k, (h, _) in enumerate(PAGES)], "page_id long, url string, html string, extra int")
     assert [(r.page_id, r.text, r.n_chars) for r in html_extract.extract(pages).orderBy("page_id").collect()] == [(k, t, len(t)) for k, (_, t) in enumerate(PAGES)]

@@ -5,13 +5,16 @@ beginnings (stems) that are far likelier in toxic texts make the lexicon; its te
 
 Scoring reads every whole text. A token is a term, begins with a stem, or is a misspelling: a Levenshtein
 automaton of the token is intersected with the trie, so that only branches within the allowed distance are
-walked. Tokens that the sample has in clean texts are no misspellings. For each hit a window of context tells
+walked; a stem is met by a beginning of the token. All terms and stems of five letters or more, and of nothing but
+letters, are targets, but for those that lie among ordinary words: near them the clean texts of the sample have more
+than MOST_CLEAN_WORDS different words. Tokens that the sample has in clean texts are no misspellings. For each hit a window of context tells
 quotation from abuse: a hit between quotation marks, or next to a word of reporting, counts as quoted. A
 logistic model over the counts of the kinds of hits, fitted on the sample, gives the score; the weight of
 quoted hits stays near nothing unless the labels say otherwise.
 
 Edge cases: null and empty texts get the score of no hits; unlabelled tables give a constant score; a null
-doc_id is not held out; repeated rows get equal scores. Labels, lang, source and doc_id are no inputs of a score.
+doc_id is not held out; repeated rows get equal scores; an empty table gives an empty result; texts of any length are
+read whole; other columns, whatever their names, are not read. Labels, lang, source and doc_id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -29,14 +32,14 @@ from pyspark.sql import functions as F
 FOLDS = 5
 #: At most so many labelled rows are learned from, the first in the order of a hash of doc_id.
 MOST_LABELLED = 20_000
-#: The most terms and the most stems of the lexicon, the most frequent in toxic texts first.
-MOST_TERMS = 4_000
 MIN_TOXIC_TERM, MIN_TOXIC_STEM, MIN_LOG_ODDS, MIN_STEM_LOG_ODDS = 8, 20, 3.0, 2.5
 #: A term must be found between so many different pairs of neighbours, so that copies of one text do not make it.
 MIN_CONTEXTS = 12
 #: A stem stands for so many different words; with fewer, the words themselves are the terms.
 MIN_STEM_WORDS = 5
 STEM_SIZES = (4, 5, 6, 7, 8)
+#: A term or stem near which the clean texts of the sample have more different words is no target of misspelling.
+MOST_CLEAN_WORDS = 3
 CONTEXT = 6
 #: Tokens remembered as no hit by a Python worker.
 REMEMBER = 300_000
@@ -79,28 +82,42 @@ class Automaton:
         return bool(state) and state[-1][0] == len(self.word)
 
 
-def trie_of(terms: list[str]) -> dict:
+def trie_of(terms: list[str], stems: list[str] = ()) -> dict:
+    """Nested maps by letter; the end of a term has it under '', the end of a stem under '*'."""
     root: dict = {}
-    for term in terms:
-        node = root
-        for char in term:
-            node = node.setdefault(char, {})
-        node[""] = term
+    for mark, words in (("", terms), ("*", stems)):
+        for word in words:
+            node = root
+            for char in word:
+                node = node.setdefault(char, {})
+            node[mark] = word
     return root
 
 
-def near(trie: dict, word: str, most: int) -> str | None:
-    """A term within the distance of word, by walking the trie and the automaton together."""
+def nears(trie: dict, word: str, most: int) -> Iterator[str]:
+    """Terms within the distance of word, and stems (with '*') within their own allowed distance of a beginning of word.
+
+    The trie and the automaton of the word are walked together.
+    """
     automaton = Automaton(word, most)
     walk = [(trie, automaton.start())]
     while walk:
         node, state = walk.pop()
         if "" in node and automaton.accepts(state):
-            return node[""]
+            yield node[""]
+        if "*" in node and min(cost for _, cost in state) <= allowed(len(node["*"])):
+            yield node["*"] + "*"
         for char, child in node.items():
-            if char and (after := automaton.step(state, char)):
+            if len(char) == 1 and char != "*" and (after := automaton.step(state, char)):
                 walk.append((child, after))
-    return None
+
+
+def near(trie: dict, word: str, most: int) -> str | None:
+    return next(nears(trie, word, most), None)
+
+
+def split(term: str, n: int) -> list[str]:
+    return [term[len(term) * k // n : len(term) * (k + 1) // n] for k in range(n)]
 
 
 def allowed(size: int) -> int:
@@ -112,27 +129,25 @@ class Model:
     terms: frozenset[str]
     stems: frozenset[str]
     clean: frozenset[str] = frozenset()
+    #: Terms, and stems with '*', that are no targets of misspelling.
+    ordinary: frozenset[str] = frozenset()
     weights: list[float] = field(default_factory=lambda: [-2.0, 0.0, 0.0, 0.0, 0.0])
 
     def __post_init__(self) -> None:
-        families = Counter(t[:5] for t in self.terms)  # the forms of one stem are no targets of misspelling
-        long = sorted(t for t in self.terms if allowed(len(t)) and t.isalpha() and families[t[:5]] < 3)
-        self.trie = trie_of(long)
-        # A word within distance d of a term shares one of d + 1 pieces of it, moved by d at most.
-        self.pieces = {p for t in long for p in self.split(t)}
+        terms = sorted(t for t in self.terms if allowed(len(t)) and t.isalpha() and t not in self.ordinary)
+        stems = sorted(t for t in self.stems if allowed(len(t)) and t.isalpha() and f"{t}*" not in self.ordinary)
+        self.trie = trie_of(terms, stems)
+        # A word within distance d of a term, or of a stem by a beginning, holds one of d + 1 pieces of it.
+        self.pieces = {p for t in terms for p in split(t, allowed(len(t) + 2) + 1)} | {p for t in stems for p in split(t, allowed(len(t)) + 1)}
         self.piece_sizes = sorted({len(p) for p in self.pieces})
-        self.sizes = {len(t) for t in long}
+        self.sizes = {len(t) for t in terms}
+        self.shortest_stem = min((len(t) - allowed(len(t)) for t in stems), default=1 << 30)
         self.known: dict[str, str] = {}
         self.none: set[str] = set()
 
-    @staticmethod
-    def split(term: str) -> list[str]:
-        n = allowed(len(term)) + 1
-        return [term[len(term) * k // n : len(term) * (k + 1) // n] for k in range(n)]
-
     def maybe(self, token: str) -> bool:
         size = len(token)
-        if not any(size + d in self.sizes for d in (-2, -1, 0, 1, 2)):
+        if size < self.shortest_stem and not any(size + d in self.sizes for d in (-2, -1, 0, 1, 2)):
             return False
         return any(token[k : k + n] in self.pieces for n in self.piece_sizes for k in range(size - n + 1))
 
@@ -220,13 +235,13 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Dat
 
 
 def lexicon(learned: DataFrame) -> Model:
-    """Terms, stems and clean words from a sample; what reaches the driver is bounded by MOST_TERMS."""
+    """Terms, stems and clean words from a sample; what reaches the driver comes from the sample, which MOST_LABELLED bounds."""
     sums = learned.mapInArrow(_counts, "feature string, n_toxic long, n_clean long").groupBy("feature").agg(F.sum("n_toxic").alias("n_toxic"), F.sum("n_clean").alias("n_clean"))
     totals = learned.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("n")).first()
     toxic, clean = totals["t"], totals["n"] - totals["t"]
     odds = F.log(((F.col("n_toxic") + 0.5) / (toxic + 1)) / ((F.col("n_clean") + 0.5) / (clean + 1)))
     strong = sums.filter((F.col("n_toxic") >= F.when(F.col("feature").endswith("*"), MIN_TOXIC_STEM).otherwise(MIN_TOXIC_TERM)) & (odds > F.when(F.col("feature").endswith("*"), MIN_STEM_LOG_ODDS).otherwise(MIN_LOG_ODDS)))
-    likely = frozenset(r["feature"] for r in strong.orderBy(F.desc("n_toxic"), "feature").limit(2 * MOST_TERMS).collect())
+    likely = frozenset(r["feature"] for r in strong.collect())  # features of the bounded sample
     places = learned.filter("toxic = 1").mapInArrow(_contexts(likely), "feature string, context string, token string").distinct()
     found = places.groupBy("feature").agg(F.countDistinct("context").alias("n"), F.countDistinct("token").alias("words")).filter(F.col("n") >= MIN_CONTEXTS).collect()
     stems: set[str] = set()
@@ -244,20 +259,20 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     model = lexicon(learned)
 
     def near_clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[str] = set()
+        seen: set[tuple[int, str]] = set()
         for batch in batches:
-            for text in batch.column("text"):
-                seen |= {t for t in set(TOKEN.findall((text.as_py() or "").lower())) - seen - model.none if model.kind(t) == "near"}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["token"])
+            for text, half in zip(batch.column("text"), batch.column("half").to_pylist(), strict=True):
+                seen |= {(half, t) for t in set(TOKEN.findall((text.as_py() or "").lower())) - model.none if model.kind(t) == "near"}
+        found = [(half, token, target) for half, token in sorted(seen) for target in set(nears(model.trie, token, allowed(len(token))))]
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in ((0, pa.int64()), (1, pa.string()), (2, pa.string()))], ["half", "token", "target"])
 
     # Tokens near a term in clean texts: those of one half are known when the other half is fitted.
     half = F.abs(F.xxhash64("text")) % 2
-    tokens = learned.filter("toxic = 0").select("text", half.alias("half"))
-    clean = [
-        frozenset(r["token"] for r in tokens.filter(F.col("half") == k).select("text").mapInArrow(near_clean, "token string").groupBy("token").count().orderBy(F.desc("count"), "token").limit(10 * MOST_TERMS).collect())
-        for k in (0, 1)
-    ]
-    model = Model(model.terms, model.stems, clean[0])
+    rows = learned.filter("toxic = 0").select("text", half.alias("half")).mapInArrow(near_clean, "half long, token string, target string").distinct().collect()  # of the bounded sample
+    words = Counter(target for _, target in {(r["token"], r["target"]) for r in rows})
+    ordinary = frozenset(t for t, n in words.items() if n > MOST_CLEAN_WORDS)
+    clean = [frozenset(r["token"] for r in rows if r["half"] == k) for k in (0, 1)]
+    model = Model(model.terms, model.stems, clean[0], ordinary)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,7 +281,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
     rows = learned.filter(half == 1).mapInArrow(featured, "a double, b double, c double, d double, toxic int").groupBy("a", "b", "c", "d", "toxic").count().collect()  # at most `most` rows
     rows.sort(key=tuple)
-    model = Model(model.terms, model.stems, clean[0] | clean[1])
+    model = Model(model.terms, model.stems, clean[0] | clean[1], ordinary)
     if rows:
         model.weights = logistic(np.array([[1.0, r["a"], r["b"], r["c"], r["d"]] for r in rows]), np.array([float(r["toxic"]) for r in rows]), np.array([float(r["count"]) for r in rows]))
     return model

@@ -337,6 +337,22 @@ def test_automaton():
             assert (toxicity.near(trie, word, most) is not None) == any(distance(word, t) <= most for t in terms)
 
 
+def test_stems_and_pieces():
+    """Stems by a beginning of a word; the filter by pieces loses no target."""
+    rnd = random.Random(2)
+    draw = lambda low, high: "".join(rnd.choice("abc") for _ in range(rnd.randint(low, high)))
+    terms, stems = frozenset(draw(3, 11) for _ in range(12)), frozenset(draw(4, 8) for _ in range(3))
+    model = toxicity.Model(terms, stems)
+    able = lambda words: [t for t in words if toxicity.allowed(len(t))]
+    for _ in range(600):
+        word = draw(2, 13)
+        most = toxicity.allowed(len(word))
+        want = {t for t in able(terms) if distance(word, t) <= most}
+        want |= {t + "*" for t in able(stems) if any(distance(word[:k], t) <= min(most, toxicity.allowed(len(t))) for k in range(len(word) + 1))}
+        assert set(toxicity.nears(model.trie, word, most)) == want
+        assert not want or not most or model.maybe(word)
+
+
 def test_toxicity(spark, docs):
     rnd = random.Random(3)
     clean = [f"c{k}" for k in range(300)]
@@ -359,6 +375,9 @@ def test_toxicity(spark, docs):
     assert held and sum(a == b for a, b in held) >= 0.97 * len(held)
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k in got)
     assert got[5000].predicted == 1 and got[5001].predicted == 0 and got[5002].score == got[5003].score < 0.5
+    assert toxicity.score(table.limit(0), model).count() == 0
+    again = toxicity.score(table.union(table).withColumn("score", F.lit("x")), model)  # repeated rows, a clashing column
+    assert again.count() == 2 * table.count() and again.groupBy("doc_id").agg(F.countDistinct("score").alias("n")).filter("n > 1").isEmpty()
     none = toxicity.fit(docs, told.limit(0))
     assert toxicity.score(docs, none).select("score").distinct().count() == 1
 

@@ -22,7 +22,8 @@ def number(findings: DataFrame, ignore: Iterable[str] = (), order: tuple[str, ..
     The running number is made in two phases: rows are ranged by prefix and order, numbered within their
     partition, and moved by the totals of the partitions before, so a prefix may hold any share of all rows.
     """
-    ranged = findings.repartitionByRange("prefix", *order).sortWithinPartitions("prefix", *order).withColumn("_place", F.monotonically_increasing_id())
+    stored = written(findings, "found")  # ranging samples its input, which is not to be computed twice
+    ranged = stored.repartitionByRange("prefix", *order).sortWithinPartitions("prefix", *order).withColumn("_place", F.monotonically_increasing_id())
     ranged = written(ranged, "numbered").withColumn("_part", F.shiftright("_place", 33))
     parts = ranged.groupBy("prefix", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("prefix").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -55,9 +56,10 @@ def suppress_inline(findings: DataFrame, lines: DataFrame, marker: str = MARKER)
     told = suppressions(lines, marker).select(F.col("path").alias("file"), "line_no", F.explode("prefixes").alias("p"))
     told = told.select("file", F.explode(F.array("line_no", F.col("line_no") + 1)).alias("line"), "p")
     told = told.distinct()
-    named = told.filter("p <> '*'").withColumnRenamed("p", "prefix")
-    every = told.filter("p = '*'").select("file", "line").distinct().join(findings.select("prefix").distinct())
-    return _split(findings, named.unionByName(every.select(*named.columns)), ["file", "line", "prefix"], F.lit("inline"))
+    told = told.groupBy("file", "line").agg(F.collect_set("p").alias("_told"))  # the words of at most two comments
+    own = findings.join(told, ["file", "line"], "left")
+    hit = F.coalesce(F.array_contains("_told", "*") | F.array_contains("_told", F.col("prefix")), F.lit(False))
+    return own.filter(~hit).select(*findings.columns), own.filter(hit).select(*findings.columns).withColumn("suppression_reason", F.lit("inline"))
 
 
 def suppress_paths(findings: DataFrame, rules: Mapping[str, Iterable[str]], root: str = "") -> tuple[DataFrame, DataFrame]:

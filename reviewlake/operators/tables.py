@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """spark.checkpoint.dir; where it is unset, a folder of our own, and only where driver and tasks share a machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         sc = spark.sparkContext
         folder = getattr(sc, "_reviewlake_tables", None)
         if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="reviewlake-tables-")
             sc._reviewlake_tables = folder
     return folder.rstrip("/")

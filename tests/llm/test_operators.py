@@ -481,6 +481,19 @@ def test_lines(docs, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_postings_are_dealt_by_task(monkeypatch):
+    """A task's blobs go by shards, not by pieces times shards, and hold the postings of all its pieces."""
+    monkeypatch.setattr(line_dedup, "PIECE", 200)
+    texts = [" ".join(f"w{(7 * k + j) % 90}" for j in range(12)) + "\nshared line" for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array([0] * 300, pa.int64()), pa.array(texts)], ["doc", "tie", "text"])
+    post = line_dedup._post(8, line_dedup._order(np.zeros(line_dedup.ENTRIES, np.int64)), line_dedup.PERCENT)
+    rows = [row for out in post(iter([batch])) for row in zip(*(out.column(c).to_pylist() for c in ("shard", "kind", "rows")), strict=True)]
+    assert len(rows) == len({r[:2] for r in rows}) <= 3 * 8
+    got = line_dedup.unpack([r[2] for r in rows if r[1] == line_dedup.PAIR], line_dedup.POSTINGS)
+    # A line of 12 words posts 3, one of 2 posts 1, once a piece.
+    assert {k: int((got["n"] == k).sum()) for k in (2, 12)} == {2: len(list(line_dedup.pieces(batch.column("text")))), 12: 3 * 300}
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_groups_of_alike_lines(spark, monkeypatch, small):
     """Lines near the threshold in large groups, of all lengths; with small bounds, by blocks and by a second search."""

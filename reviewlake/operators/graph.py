@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from reviewlake.operators.tables import written
 
 UNBOUNDED = 1 << 30
+#: Edges of a graph that one task may search.
+ONE_TASK = 1_000_000
 
 
 def direct_dependents(edges: DataFrame, node: int) -> DataFrame:
@@ -92,16 +94,59 @@ def simple_paths(edges: DataFrame, start: int, end: int, max_length: int) -> Dat
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (its smallest id) of weakly connected components, by labels and pointer jumping."""
-    both = edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("other")).filter("id <> other")
-    both = written(both.unionByName(both.select(F.col("other").alias("id"), F.col("id").alias("other"))).distinct(), "cc-edges")
-    labels = written(both.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("component"), F.lit(True).alias("moved")), "cc-labels")
-    while not labels.filter("moved").isEmpty():
-        near = both.join(labels.select(F.col("id").alias("other"), "component"), "other").groupBy("id").agg(F.min("component").alias("m"))
-        step = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("component"))
-        jump = step.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        labels = written(step.join(jump, "component").select("id", F.least("component", "next").alias("component"), "old").select("id", "component", (F.col("component") != F.col("old")).alias("moved")), "cc-labels")
-    return labels.select("id", "component")
+    """id, component (its smallest id) of weakly connected components.
+
+    While there are more edges than one task may search, each node is merged into the least of itself and its
+    neighbours by a hash that changes with the round, so that long paths and rings shrink by a constant share.
+    Every round is whole: merged nodes are adjacent, and the edges between merged nodes stay.
+    """
+    live = written(edges.select(F.least("from_id", "to_id").alias("a"), F.greatest("from_id", "to_id").alias("b")).filter("a <> b").distinct(), "cc-edges")
+    ends = live.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    merged: list[DataFrame] = []
+    while live.count() > ONE_TASK:
+        turn = F.lit(len(merged))
+        rank = lambda c: F.struct(F.xxhash64(c, turn).alias("h"), F.col(c).alias("k"))  # noqa: E731, B023
+        sides = live.select("a", rank("b").alias("r")).unionByName(live.select(F.col("b").alias("a"), rank("a").alias("r")))
+        near = sides.groupBy("a").agg(F.min("r").alias("r"))
+        to = written(near.select(F.col("a").alias("id"), F.least("r", rank("a"))["k"].alias("root")), "cc-merged")
+        moved = live.join(to.select(F.col("id").alias("a"), F.col("root").alias("x")), "a").join(to.select(F.col("id").alias("b"), F.col("root").alias("y")), "b")
+        live = written(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "cc-edges")
+        merged.append(to)
+    rest = written(live.groupBy(F.lit(0).alias("all")).applyInPandas(_united, "id bigint, root bigint"), "cc-rest")
+    if not merged:
+        return rest.select("id", F.col("root").alias("component"))
+    labels = ends.select("id", F.col("id").alias("root"))
+    for table in [*merged, rest]:
+        labels = labels.join(table.select(F.col("id").alias("root"), F.col("root").alias("next")), "root", "left").select("id", F.coalesce("next", "root").alias("root"))
+    labels = written(labels, "cc-labels")
+    return labels.join(labels.groupBy("root").agg(F.min("id").alias("component")), "root").select("id", "component")
+
+
+def _numbered(x, y):
+    """The distinct ids in order, and x and y as places among them."""
+    import numpy as np
+
+    ids, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+    return ids, place[: len(x)], place[len(x) :]
+
+
+def _united(pdf):
+    import pandas as pd
+
+    ids, x, y = _numbered(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+    up = list(range(len(ids)))
+    for a, b in zip(x.tolist(), y.tolist(), strict=True):
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a < b:
+            up[b] = a
+        else:
+            up[a] = b
+    for k in range(len(up)):  # what a node points to is smaller, and done
+        up[k] = up[up[k]]
+    return pd.DataFrame({"id": ids, "root": ids[up]})
 
 
 def _trimmed(live: DataFrame) -> DataFrame:

@@ -225,7 +225,8 @@ def old_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two calls, a reference and a containment from each part; cyclic."""
-    own = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("from_id"), F.count(F.lit(1)).over(rules_window()).alias("n"))
+    ids = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("from_id"))
+    own = ids.crossJoin(F.broadcast(ids.agg(F.count(F.lit(1)).alias("n"))))  # one row
     n, k = F.col("n"), F.col("from_id")
     to = F.array(
         F.struct(F.lit(0).alias("edge_idx"), ((k * 17 + 3) % F.ceil(n / 2) * 2 + 1).alias("to_id"), F.lit("Calls").alias("kind")), F.struct(F.lit(1).alias("edge_idx"), ((k * 31 + 5) % F.ceil(n / 2) + 1).alias("to_id"), F.lit("Calls").alias("kind")),
@@ -234,12 +235,6 @@ def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("from_id", F.explode(to).alias("e")).select(F.lit("new").alias("snapshot"), "from_id", F.col("e.to_id").cast("long").alias("to_id"), F.col("e.edge_idx").alias("edge_idx"), F.col("e.kind").alias("kind"), F.lit(None).cast("struct<call_line:int,is_direct:boolean,alias:string,is_wildcard:boolean,param_index:int>").alias("metadata"))
 
 
-def rules_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as a dense multigraph of suppliers and parts."""
     kind = F.when(F.col("l_returnflag") == "A", "Calls").when(F.col("l_returnflag") == "N", "References").otherwise("Imports")

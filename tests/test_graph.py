@@ -112,6 +112,44 @@ def test_components(spark):
     assert {r["id"]: r["component"] for r in graph.components(frame(spark, pairs)).collect()} == want
 
 
+def few_tables(monkeypatch, most):
+    """No more than so many tables are written from now on, each a round or less."""
+    count = iter(range(most))
+    own = graph.written
+
+    def counted(df, label):
+        assert next(count, None) is not None, "more rounds than a ring may need"
+        return own(df, label)
+
+    monkeypatch.setattr(graph, "written", counted)
+
+
+def ring(n, start=0):
+    ids = random.Random(n).sample(range(start, start + n), n)
+    return list(zip(ids, ids[1:] + ids[:1], strict=True))
+
+
+@pytest.mark.parametrize("most", [3, 25, 1_000_000])
+def test_components_by_merging(spark, monkeypatch, most):
+    """By one task and by rounds, on paths in the order of ids, rings, stars and chance."""
+    monkeypatch.setattr(graph, "ONE_TASK", most)
+    rnd = random.Random(3)
+    path, star = [(k, k + 1) for k in range(100, 160)], [(200, k) for k in range(201, 240)]
+    pairs = [*path, *star, *ring(40, 300), *((rnd.randrange(60), rnd.randrange(60)) for _ in range(35)), (400, 400)]
+    both = [*pairs, *((b, a) for a, b in pairs)]
+    want = {x: min([x, *reach(both, x)]) for p in pairs if p[0] != p[1] for x in p}
+    got = [tuple(r) for r in graph.components(frame(spark, pairs)).collect()]
+    assert sorted(got) == sorted(want.items())
+    assert graph.components(frame(spark, [(1, 1)])).count() == 0
+
+
+def test_components_of_a_long_path(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ONE_TASK", 100)
+    few_tables(monkeypatch, 40)
+    got = {r["id"]: r["component"] for r in graph.components(frame(spark, [(k, k + 1) for k in range(3000)])).collect()}
+    assert got == dict.fromkeys(range(3001), 0)
+
+
 def node(k, kind="Function", name="f", path="a/x.py", line=1, snapshot="new", types=(), **data):
     row = dict.fromkeys(parsers.FIELDS) | data
     return (snapshot, k, kind, name, path, line, line + 5, True, row, [], list(types))

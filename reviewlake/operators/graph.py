@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from reviewlake.operators.tables import written
 
 UNBOUNDED = 1 << 30
-#: Edges of a graph that one task may search.
+#: Edges of a graph, or of one weak component of it, that one task may search.
 ONE_TASK = 1_000_000
 
 
@@ -149,25 +149,102 @@ def _united(pdf):
     return pd.DataFrame({"id": ids, "root": ids[up]})
 
 
-def _trimmed(live: DataFrame) -> DataFrame:
-    """Edges whose ends all have both incoming and outgoing edges, trimmed round by round."""
+def _trimmed(live: DataFrame, least: float = 0.0) -> tuple[DataFrame, int]:
+    """Edges whose ends all have both incoming and outgoing edges, trimmed round by round, and their number.
+
+    least: a round that takes no more than this share of the edges is the last.
+    """
     size = live.count()
     while True:
         left = live.join(live.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi").join(live.select(F.col("from_id").alias("to_id")).distinct(), "to_id", "left_semi").select("from_id", "to_id")
         live = written(left, "scc-edges")
         before, size = size, live.count()
-        if size == before:
-            return live
+        if before - size <= least * before:
+            return live, size
 
 
 def mutual_reach(edges: DataFrame) -> DataFrame:
     """id, scc: members of strongly connected components of two nodes or more, scc being the smallest member.
 
+    Nodes without an incoming or an outgoing edge are trimmed, as long as that takes many edges. A strong component lies
+    in one weak component: those of up to ONE_TASK edges are searched by tasks, many together, and turns over tables
+    are left for larger ones.
+    """
+    live = written(edges.select("from_id", "to_id").filter("from_id <> to_id").distinct(), "scc-edges")
+    live, size = _trimmed(live, 0.25)
+    if size <= ONE_TASK:
+        return _searched(live, 1)
+    parts = components(live)
+    inside = written(live.join(parts.withColumnRenamed("id", "from_id"), "from_id"), "scc-parts")
+    large = written(inside.groupBy("component").count().filter(F.col("count") > ONE_TASK).select("component"), "scc-large")
+    if large.isEmpty():
+        return _searched(inside, -(-size // ONE_TASK))
+    # Components of more edges are few: at most one for each ONE_TASK edges.
+    small = _searched(inside.join(F.broadcast(large), "component", "left_anti"), -(-size // ONE_TASK))
+    return small.unionByName(_by_turns(inside.join(F.broadcast(large), "component", "left_semi").select("from_id", "to_id")))
+
+
+def _searched(edges: DataFrame, tasks: int) -> DataFrame:
+    """The strong components of whole weak components (column component, where there are several tasks)."""
+    key = F.pmod(F.xxhash64("component"), F.lit(tasks)) if tasks > 1 else F.lit(0)
+    return written(edges.groupBy(key.alias("task")).applyInPandas(_strong, "id bigint, scc bigint"), "scc-found")
+
+
+def _strong(pdf):
+    """Tarjan's search without recursion."""
+    import numpy as np
+    import pandas as pd
+
+    ids, x, y = _numbered(pdf["from_id"].to_numpy(), pdf["to_id"].to_numpy())
+    order = np.argsort(x, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(ids)))]).tolist()
+    after, at = y[order].tolist(), first[:-1]
+    index, low, own = [-1] * len(ids), [0] * len(ids), [-1] * len(ids)
+    stack: list[int] = []
+    count = 0
+    for start in range(len(ids)):
+        if index[start] >= 0:
+            continue
+        walk = [start]
+        while walk:
+            v = walk[-1]
+            if index[v] < 0:
+                index[v] = low[v] = count
+                count += 1
+                stack.append(v)
+            deeper = False
+            while at[v] < first[v + 1]:
+                w = after[at[v]]
+                if index[w] < 0:
+                    walk.append(w)
+                    deeper = True
+                    break
+                at[v] += 1
+                if own[w] < 0:
+                    low[v] = min(low[v], low[w])
+            if deeper:
+                continue
+            walk.pop()
+            if low[v] == index[v]:
+                group = []
+                while not group or group[-1] != v:
+                    group.append(stack.pop())
+                least = min(group)
+                for w in group:
+                    own[w] = least
+    own = np.array(own, np.int64)
+    use = np.bincount(own, minlength=len(ids))[own] > 1
+    return pd.DataFrame({"id": ids[use], "scc": ids[own[use]]})
+
+
+def _by_turns(edges: DataFrame) -> DataFrame:
+    """mutual_reach() by turns over tables, for weak components of any size.
+
     Nodes without an incoming or an outgoing edge are trimmed first. Each node then takes as colour the least of the
     nodes that reach it, by a hash so that chains of components need few turns; a component lies within one colour,
     and what reaches the colour's own node inside it is one. Tables have a row for each node or edge, never for pairs.
     """
-    live = _trimmed(written(edges.select("from_id", "to_id").filter("from_id <> to_id").distinct(), "scc-edges"))
+    live, _ = _trimmed(written(edges, "scc-edges"))
     found = live.select(F.col("from_id").alias("id"), F.col("from_id").alias("root")).limit(0)
     while not live.isEmpty():
         rank = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("k"))
@@ -191,7 +268,7 @@ def mutual_reach(edges: DataFrame) -> DataFrame:
         members = written(members, "scc-members")
         found = found.unionByName(members)
         left = same.join(members.select(F.col("id").alias("from_id")), "from_id", "left_anti").join(members.select(F.col("id").alias("to_id")), "to_id", "left_anti")
-        live = _trimmed(written(left.select("from_id", "to_id"), "scc-edges"))
+        live, _ = _trimmed(written(left.select("from_id", "to_id"), "scc-edges"))
     least = found.groupBy("root").agg(F.min("id").alias("scc"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     return found.join(least, "root").select("id", "scc")
 
@@ -205,12 +282,14 @@ def import_cycles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     files = nodes.filter("kind = 'File'").select("id")
     imports = edges.filter("kind = 'Imports'").join(files.withColumnRenamed("id", "from_id"), "from_id", "left_semi").join(files.withColumnRenamed("id", "to_id"), "to_id", "left_semi")
     order = "edge_idx" if "edge_idx" in edges.columns else "to_id"
-    held = imports.select("from_id", "to_id", F.col(order).cast("long").alias("idx"))
+    held = written(imports.select("from_id", "to_id", F.col(order).cast("long").alias("idx")), "cycle-edges")
     inner = held.join(mutual_reach(held).select(F.col("id").alias("from_id"), F.col("scc").alias("component")), "from_id")
     ends = inner.select("component", F.col("from_id").alias("to_id")).distinct()
     inner = inner.join(ends, ["component", "to_id"], "left_semi").select("component", "from_id", "to_id", "idx")
     loops = held.filter("from_id = to_id").select(F.array("from_id").alias("cycle")).distinct()
-    return inner.groupBy("component").applyInPandas(_search, "cycle array<bigint>").distinct().unionByName(loops).distinct()
+    # Edges stay within components, so a search of several together is that of each.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return inner.groupBy(F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task")).applyInPandas(_search, "cycle array<bigint>").distinct().unionByName(loops).distinct()
 
 
 def _search(pdf):

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from reviewlake import queries
 from reviewlake.operators import graph, impact, resolve, store
@@ -150,6 +151,28 @@ def test_components_of_a_long_path(spark, monkeypatch):
     assert got == dict.fromkeys(range(3001), 0)
 
 
+@pytest.mark.parametrize("most", [0, 12, 60, 1_000_000])
+def test_mutual_reach_by_tasks(spark, monkeypatch, most):
+    """By one task, by several, and by turns for the weak components that are too large."""
+    monkeypatch.setattr(graph, "ONE_TASK", most or 1)
+    rnd = random.Random(9)
+    pairs = [*((rnd.randrange(40), rnd.randrange(40)) for _ in range(55)), *ring(9, 100), *((k, k + 1) for k in range(108, 120)), *ring(5, 200), (300, 300)]
+    got = [tuple(r) for r in graph.mutual_reach(frame(spark, pairs)).select("id", "scc").collect()]
+    assert sorted(got) == sorted(components_of(pairs).items())
+
+
+def test_cycles_of_a_long_ring(spark, monkeypatch):
+    few_tables(monkeypatch, 20)
+    pairs = [*ring(2000), (5000, 5001), (5001, 5000), (0, 5000)]
+    nodes = spark.range(6000).withColumn("kind", F.lit("File"))
+    found = sorted(list(r[0]) for r in graph.import_cycles(nodes, frame(spark, pairs, "Imports")).collect())
+    after = dict(ring(2000))
+    want = [0]
+    while (x := after[want[-1]]) != 0:
+        want.append(x)
+    assert found == [want, [5000, 5001]]
+
+
 def node(k, kind="Function", name="f", path="a/x.py", line=1, snapshot="new", types=(), **data):
     row = dict.fromkeys(parsers.FIELDS) | data
     return (snapshot, k, kind, name, path, line, line + 5, True, row, [], list(types))
